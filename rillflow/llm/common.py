@@ -54,10 +54,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label)
     for _ in range(64):
         near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("far")), "b").groupBy(F.col("a").alias("v")).agg(F.min("far").alias("far"))
-        hooked = labels.join(near, "v").select("v", F.least("root", "far").alias("root"), F.col("root").alias("old"))
-        hooked = materialize(hooked, label)
-        jump = hooked.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        new = materialize(hooked.join(jump, "root", "left").select("v", F.least("root", "up").alias("root"), "old"), label)
+        hooked = labels.join(near, "v").select("v", F.least("root", "far").alias("next"), F.col("root").alias("old"))
+        jump = labels.select(F.col("v").alias("next"), F.col("root").alias("up"))
+        new = materialize(hooked.join(jump, "next").select("v", F.least("next", "up").alias("root"), "old"), label)
         labels = new.select("v", "root")
         if new.where("root != old").isEmpty():
             return labels

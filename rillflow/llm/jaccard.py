@@ -11,11 +11,10 @@ Shingles are 64-bit hashes and a class is identified by a 64-bit hash of its set
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +30,6 @@ BROADCAST_IDS = 2_000_000
 LAST = 2**31 - 1
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets everything when it grows beyond a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -48,17 +37,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence if it has fewer words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    total = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        total += w[i : len(words) - k + 1 + i] * np.uint64(2 * (i + 1) * 0x9E3779B97F4A7C1 + 1)
-    return np.unique(mix(total))
+class Shingler:
+    """Sorted distinct hashes of the n-word shingles of texts; of the whole sequence where a text has fewer words.
+
+    Works on about a megabyte of texts at a time. A word's hash is the sum of its bytes' random values times powers of an
+    odd number, taken as the difference of two prefix sums.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    CHUNK = 1_000_000
+
+    def __init__(self, n: int):
+        self.n = n
+        self.values = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.grow(self.CHUNK + 1)
+
+    def grow(self, size: int) -> None:
+        up, down = (np.full(size, x % 2**64, np.uint64) for x in (self.BASE, pow(self.BASE, -1, 2**64)))
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+    def sets(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+        for t in texts:
+            held.append(t.encode("utf-8", "surrogatepass").lower() if t else b"")
+            size += len(held[-1]) + 1
+            if size >= self.CHUNK:
+                out += self.chunk(held)
+                held, size = [], 0
+        return out + self.chunk(held) if held else out
+
+    def chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        if len(b) > len(self.up):
+            self.grow(len(b))
+        gap = self.space[b]
+        edge = np.flatnonzero(np.diff(gap, prepend=True))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.append(np.uint64(0), np.cumsum(self.values[b] * self.up[: len(b)], dtype=np.uint64))
+        w = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        firsts = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        at = np.searchsorted(starts, firsts)
+        whole = self.windows(w, self.n)
+        return [np.empty(0, np.uint64) if a == z else self.distinct(whole[a : z - self.n + 1] if z - a >= self.n else self.windows(w[a:z], z - a)) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    @staticmethod
+    def windows(w: np.ndarray, k: int) -> np.ndarray:
+        total = np.full(max(len(w) - k + 1, 0), k, np.uint64)
+        for i in range(k):
+            total += w[i : len(w) - k + 1 + i] * np.uint64((2 * (i + 1) * 0x9E3779B97F4A7C1 + 1) % 2**64)
+        return mix(total)
+
+    @staticmethod
+    def distinct(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x)
+        return x[np.append(True, x[1:] != x[:-1])]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -78,9 +115,9 @@ def least_overlap(n: int, num: int, den: int) -> int:
 
 def _signatures(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
+        shingler = Shingler(n)
         for b in batches:
-            sets = [shingles(t, n, cache) for t in b["text"]]
+            sets = shingler.sets(b["text"])
             cls = [class_of(s) if len(s) else 0 for s in sets]
             yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "cls": cls})
             each = list({c: s for c, s in zip(cls, sets) if len(s)}.values())
@@ -99,9 +136,9 @@ def _blocks(n: int, num: int, den: int, ranges: int, frequent):
         return r, *(np.asarray(x, t).tobytes() for x, t in ((cls, np.int64), (size, np.int32), (need, np.int32), (count, np.int32))), values.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, hot, turn = WordHashes(), frequent.value, 0
+        shingler, hot, turn = Shingler(n), frequent.value, 0
         for b in batches:
-            each = {class_of(s): s for t in b["text"] if len(s := shingles(t, n, cache))}
+            each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
             cls, sizes, needs, cold, late = list(each), [], [], [], []
             for s in each.values():
                 is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
@@ -163,9 +200,9 @@ def _shared(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
+        shingler = Shingler(n)
         for b in batches:
-            each = {class_of(s): s for t in b["text"] if len(s := shingles(t, n, cache))}
+            each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
             yield pd.DataFrame({"cls": list(each), "bits": [bitmap(s) for s in each.values()], "hashes": [s.view(np.int64) for s in each.values()]})
 
     return run
@@ -229,16 +266,18 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     known = docs.where("doc_id is not null")
     blocks = known.select("text").mapInPandas(_blocks(n, num, den, ranges, frequent), "r int, cls binary, size binary, need binary, count binary, tok binary")
     shared = blocks.groupBy("r").applyInPandas(_shared, "cls long, n int, need int, toks array<long>, dfs array<long>")
-    tokens = shared.select("cls", "n", "need", F.arrays_zip(F.col("dfs").alias("df"), F.col("toks").alias("tok")).alias("t"))
-    lists = tokens.groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t"))
-    slots = F.col("need") + F.size(F.filter("t", lambda x: x["df"] < LAST))
-    prefix = lists.withColumn("t", F.explode(F.slice("t", F.lit(1), F.greatest(slots, F.lit(0)))))
+    tokens = shared.select("cls", "n", "need", F.arrays_zip(F.col("dfs").alias("df"), F.col("toks").alias("tok")).alias("t"), (F.get("dfs", F.lit(0)) == LAST).alias("late"))
+    # Rows with frequent shingles say the same whenever they repeat; the others hold each shingle once.
+    lists = tokens.groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.flatten(F.collect_list(F.when(~F.col("late"), F.col("t")))).alias("t"), F.first(F.when(F.col("late"), F.col("t")), ignorenulls=True).alias("u"))
+    lists = lists.withColumn("slots", F.col("need") + F.size("t")).where("slots > 0")
+    lists = lists.withColumn("t", F.concat(F.sort_array("t"), F.coalesce("u", F.slice("t", 1, 0))))
+    prefix = lists.withColumn("t", F.explode(F.slice("t", F.lit(1), F.col("slots"))))
     postings = materialize(prefix.select("cls", "n", (F.col("t.df") == LAST).alias("hot"), F.col("t.tok").alias("tok")), "postings")
 
     # Tiles with the same members are the same work: one of them is enough.
     groups = postings.groupBy("hot", "tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("u"), F.min(F.struct(F.xxhash64("cls").alias("o"), "n", "cls")).alias("p"))
     once = groups.where("c > 1").groupBy("c", "s", "u").agg(F.min(F.struct("hot", "tok")).alias("g"), F.first("p").alias("p"))
-    once = once.select("g.hot", "g.tok", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"))
+    once = once.select("c", "g.hot", "g.tok", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"))
     members = materialize(postings.join(once, ["hot", "tok"]), "members")
 
     ids = sig.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(members.select("cls").distinct(), "cls").select("doc_id")
@@ -259,7 +298,7 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     roots = components(edges)
 
     # What the pivots have not joined is compared in full, tile by tile.
-    labelled = members.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("hot", "tok", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    labelled = members.where((F.col("cls") != F.col("pivot")) & (F.col("c") > 2)).join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("hot", "tok", "cls", "n", F.coalesce("root", "cls").alias("comp"))
     labelled = materialize(labelled.withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.0001)).cast("int")), "labelled")
     open_ = labelled.groupBy("hot", "tok").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").drop("open")
     bands = labelled.groupBy("hot", "tok", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
@@ -272,7 +311,8 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     all_parts = F.col("mine") + F.col("above")
     cells = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), all_parts - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"))))).where(F.col("cell.i") < F.col("mine"))
     cells = cells.select("hot", "tok", "at", "cell.i", "cell.j", "cls", "comp", "n", "bits", (F.col("part") == F.col("cell.i")).alias("own"), (F.col("part") == F.col("cell.j")).alias("other"))
-    pairs = cells.groupBy("hot", "tok", "at", "i", "j").applyInPandas(_tile(num, den), "a long, b long").distinct()
+    cell = ("hot", "tok", "at", "i", "j")
+    pairs = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).groupBy(*cell).applyInPandas(_tile(num, den), "a long, b long").distinct()
     more = materialize(verified(pairs), "edges")
     if not more.isEmpty():
         roots = components(edges.union(more))
