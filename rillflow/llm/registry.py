@@ -1,6 +1,23 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their SQL."""
 
+from .html import op9_html_extraction
 from .jaccard import op1_ngram_jaccard_join
+from .mixing import op8_source_mix
+from .packing import op2_best_fit_packing
+from .quality import op10_quality_rules
+from .secrets import op7_secret_scan
+from .tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op5_token_counts,
+        op7_secret_scan,
+        op8_source_mix,
+        op9_html_extraction,
+        op10_quality_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
