@@ -22,7 +22,9 @@ from .common import components, materialize, read
 
 N, NUM, DEN = 4, 85, 100
 #: Bits of a signature, largest side of a tile, characters of text for each hash range.
-BITS, TILE, RANGE_CHARS = 512, 2048, 16_000_000
+BITS, TILE, RANGE_CHARS = 512, 2048, 6_000_000
+#: Characters of text that a task works on at a time.
+SLICE = 4_000_000
 #: A shingle in at least so many classes of a batch, and this share of them, is frequent; how many frequent ones are kept.
 HOT_MIN, HOT_SHARE, HOT_MOST = 32, 0.02, 1_000_000
 #: Identifiers up to this number may be broadcast (16 MB); more are joined by a shuffle.
@@ -113,10 +115,18 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, a bounded amount of text at a time."""
+    for b in batches:
+        part = np.cumsum(b["text"].str.len().fillna(0).to_numpy(np.int64) + 1) // SLICE
+        for _, own in b.groupby(part, sort=False):
+            yield own
+
+
 def _signatures(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
-        for b in batches:
+        for b in _slices(batches):
             sets = shingler.sets(b["text"])
             cls = [class_of(s) if len(s) else 0 for s in sets]
             yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "cls": cls})
@@ -130,14 +140,17 @@ def _signatures(n: int):
 
 
 def _blocks(n: int, num: int, den: int, ranges: int, frequent):
-    """Postings by hash range, packed: for each class of a batch how many of its shingles fall there, then those."""
+    """Postings by hash range, packed: for each class of a batch how many of its shingles fall there, then those.
+
+    A class's size and need go with its first range only, and are 0 in the others.
+    """
 
     def pack(r: int, cls, size, need, count, values) -> tuple:
         return r, *(np.asarray(x, t).tobytes() for x, t in ((cls, np.int64), (size, np.int32), (need, np.int32), (count, np.int32))), values.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, hot, turn = Shingler(n), frequent.value, 0
-        for b in batches:
+        for b in _slices(batches):
             each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
             cls, sizes, needs, cold, late = list(each), [], [], [], []
             for s in each.values():
@@ -157,10 +170,12 @@ def _blocks(n: int, num: int, den: int, ranges: int, frequent):
                 order = np.argsort(r, kind="stable")
                 r, low, of = r[order], low[order], of[order]
                 ends = np.flatnonzero(np.append(np.diff(r) != 0, True)) + 1
-                ids, sz, nd = np.array(cls), np.array(sizes), np.array(needs)
+                ids, sz, nd, told = np.array(cls), np.array(sizes), np.array(needs), np.zeros(len(cls), bool)
                 for a, z in zip(np.append(0, ends[:-1]), ends):
                     own, count = np.unique(of[a:z], return_counts=True)
-                    rows.append(pack(int(r[a]), ids[own], sz[own], nd[own], count, low[a:z]))
+                    new = ~told[own]
+                    told[own] = True
+                    rows.append(pack(int(r[a]), ids[own], sz[own] * new, nd[own] * new, count, low[a:z]))
             if own := [i for i, x in enumerate(late) if len(x)]:
                 turn += 1
                 rows.append(pack(-1 - (turn * 7919 + len(of)) % ranges, [cls[i] for i in own], [sizes[i] for i in own], [needs[i] for i in own], [len(late[i]) for i in own], np.concatenate([late[i] for i in own])))
@@ -192,16 +207,18 @@ def _shared(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         tok, of, df = tok[keep] | np.uint64(r << 32), of[keep], df[keep]
     order = np.argsort(of, kind="stable")
     tok, of, df = tok[order].view(np.int64), of[order], df[order]
-    cut = np.flatnonzero(np.diff(of)) + 1
-    own = known[of[np.append(0, cut)]] if len(of) else np.empty(0, np.int64)
-    split = (lambda x: np.split(x, cut)) if len(of) else (lambda x: [])
-    return pd.DataFrame({"cls": cls[own], "n": size[own], "need": need[own], "toks": split(tok), "dfs": split(df)})
+    told = np.zeros(len(known), np.int64)
+    np.maximum.at(told, index, np.where(size > 0, np.arange(len(size)) + 1, 0))
+    own = np.flatnonzero((told > 0) | (np.bincount(of, minlength=len(known)) > 0))
+    lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, "right")
+    told = told[own] - 1
+    return pd.DataFrame({"cls": cls[known[own]], "n": np.where(told >= 0, size[told], 0), "need": np.where(told >= 0, need[told], 0), "late": r < 0, "toks": [tok[x:y] for x, y in zip(lo, hi)], "dfs": [df[x:y] for x, y in zip(lo, hi)]})
 
 
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
-        for b in batches:
+        for b in _slices(batches):
             each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
             yield pd.DataFrame({"cls": list(each), "bits": [bitmap(s) for s in each.values()], "hashes": [s.view(np.int64) for s in each.values()]})
 
@@ -265,11 +282,11 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
 
     known = docs.where("doc_id is not null")
     blocks = known.select("text").mapInPandas(_blocks(n, num, den, ranges, frequent), "r int, cls binary, size binary, need binary, count binary, tok binary")
-    shared = blocks.groupBy("r").applyInPandas(_shared, "cls long, n int, need int, toks array<long>, dfs array<long>")
-    tokens = shared.select("cls", "n", "need", F.arrays_zip(F.col("dfs").alias("df"), F.col("toks").alias("tok")).alias("t"), (F.get("dfs", F.lit(0)) == LAST).alias("late"))
+    shared = blocks.groupBy("r").applyInPandas(_shared, "cls long, n int, need int, late boolean, toks array<long>, dfs array<long>")
+    tokens = shared.select("cls", F.struct("n", "need").alias("told"), "late", F.arrays_zip(F.col("dfs").alias("df"), F.col("toks").alias("tok")).alias("t"))
     # Rows with frequent shingles say the same whenever they repeat; the others hold each shingle once.
-    lists = tokens.groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.flatten(F.collect_list(F.when(~F.col("late"), F.col("t")))).alias("t"), F.first(F.when(F.col("late"), F.col("t")), ignorenulls=True).alias("u"))
-    lists = lists.withColumn("slots", F.col("need") + F.size("t")).where("slots > 0")
+    lists = tokens.groupBy("cls").agg(F.max("told").alias("told"), F.flatten(F.collect_list(F.when(~F.col("late"), F.col("t")))).alias("t"), F.first(F.when(F.col("late"), F.col("t")), ignorenulls=True).alias("u"))
+    lists = lists.withColumn("n", F.col("told.n")).withColumn("slots", F.col("told.need") + F.size("t")).where("slots > 0 and (size(t) > 0 or u is not null)")
     lists = lists.withColumn("t", F.concat(F.sort_array("t"), F.coalesce("u", F.slice("t", 1, 0))))
     prefix = lists.withColumn("t", F.explode(F.slice("t", F.lit(1), F.col("slots"))))
     postings = materialize(prefix.select("cls", "n", (F.col("t.df") == LAST).alias("hot"), F.col("t.tok").alias("tok")), "postings")
