@@ -1,4 +1,6 @@
 """Queries over the engine's own operators, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import tables, terrain  # noqa: F401
+from .plans.inputs import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
