@@ -8,6 +8,7 @@ from .mixing import op8_source_mix
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
 from .secrets import op7_secret_scan
+from .sql import ORACLES
 from .tokens import op5_token_counts
 from .urls import op4_url_filter
 
@@ -26,4 +27,5 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
