@@ -22,7 +22,9 @@ from .common import components, materialize, read
 
 N, NUM, DEN = 4, 85, 100
 #: Bits of a signature, largest side of a tile, characters of text for each hash range.
-BITS, TILE, RANGE_CHARS = 512, 2048, 6_000_000
+BITS, TILE, RANGE_CHARS = 2048, 2048, 10_000_000
+#: Documents whose shared shingles meet in a task on average; partners of a row that the first sweep over tiles verifies.
+BUCKET_DOCS, FIRST = 16_384, 2
 #: Characters of text that a task works on at a time.
 SLICE = 4_000_000
 #: A shingle in at least so many classes of a batch, and this share of them, is frequent; how many frequent ones are kept.
@@ -184,35 +186,72 @@ def _blocks(n: int, num: int, den: int, ranges: int, frequent):
     return run
 
 
-def _shared(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: for each class its shingles that another class has too, with their document frequency."""
-    r = key[0]
-    cls, size, need, count = (np.concatenate([np.frombuffer(x, t) for x in b[c]]) for c, t in (("cls", np.int64), ("size", np.int32), ("need", np.int32), ("count", np.int32)))
-    tok = np.concatenate([np.frombuffer(x, np.uint32 if r >= 0 else np.uint64) for x in b["tok"]])
-    order = np.argsort(cls, kind="stable")
-    first = np.append(True, np.diff(cls[order]) != 0)
-    index = np.empty(len(cls), np.int64)
-    index[order] = np.cumsum(first) - 1
-    known = order[first]
+def _numbers(column: pd.Series, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in column])
+
+
+def _shared(buckets: int):
+    """Of one hash range: for each class its shingles that another class has too, with their document frequency.
+
+    Packed by bucket of classes: each class of a row has `count` of the row's shingles.
+    """
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        r = key[0]
+        cls, size, need, count = (_numbers(b[c], t) for c, t in (("cls", np.int64), ("size", np.int32), ("need", np.int32), ("count", np.int32)))
+        tok = _numbers(b["tok"], np.uint32 if r >= 0 else np.uint64)
+        order = np.argsort(cls, kind="stable")
+        first = np.append(True, np.diff(cls[order]) != 0)
+        index = np.empty(len(cls), np.int64)
+        index[order] = np.cumsum(first) - 1
+        known = cls[order[first]]
+        of = np.repeat(index, count)
+        if r < 0:
+            df = np.full(len(tok), LAST, np.int32)
+        else:
+            pair = np.unique((tok.astype(np.uint64) << np.uint64(32)) | of.astype(np.uint64))
+            tok, of = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            ends = np.flatnonzero(np.append(np.diff(tok) != 0, True)) + 1 if len(tok) else np.empty(0, np.int64)
+            counts = np.diff(np.append(0, ends))
+            df = np.repeat(counts, counts).astype(np.int32)
+            tok, of, df = tok[df >= 2].astype(np.uint32), of[df >= 2], df[df >= 2]
+        told_n, told_need = np.zeros(len(known), np.int32), np.zeros(len(known), np.int32)
+        told_n[index[size > 0]], told_need[index[size > 0]] = size[size > 0], need[size > 0]
+        own = np.flatnonzero((told_n > 0) | (np.bincount(of, minlength=len(known)) > 0))
+        bucket = (known.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((of, bucket[of]))
+        tok, of, df = tok[order], of[order], df[order]
+        own = own[np.argsort(bucket[own], kind="stable")]
+        many = np.bincount(of, minlength=len(known))[own].astype(np.int32)
+        rows = []
+        for k in np.unique(bucket[own]).tolist():
+            a, z = np.searchsorted(bucket[own], [k, k + 1])
+            x, y = np.searchsorted(bucket[of], [k, k + 1])
+            rows.append((k, r, *(v.tobytes() for v in (known[own[a:z]], told_n[own[a:z]], told_need[own[a:z]], many[a:z], tok[x:y], df[x:y]))))
+        return pd.DataFrame(rows, columns=["bucket", "r", "cls", "size", "need", "count", "tok", "df"])
+
+    return run
+
+
+def _prefixes(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of classes: the shared shingles of each class's prefix. Rarest first; frequent ones are the last."""
+    cls, size, need, count = (_numbers(b[c], t) for c, t in (("cls", np.int64), ("size", np.int32), ("need", np.int32), ("count", np.int32)))
+    tok = np.concatenate([np.frombuffer(t, np.uint32).astype(np.uint64) | np.uint64(r << 32) if r >= 0 else np.frombuffer(t, np.uint64) for r, t in zip(b["r"].tolist(), b["tok"])])
+    df = _numbers(b["df"], np.int32)
+    known, index = np.unique(cls, return_inverse=True)
+    n, slots = np.zeros(len(known), np.int32), np.zeros(len(known), np.int64)
+    n[index[size > 0]], slots[index[size > 0]] = size[size > 0], need[size > 0]
     of = np.repeat(index, count)
-    if r < 0:
-        df = np.full(len(tok), LAST, np.int64)
-    else:
-        pair = np.unique((tok.astype(np.uint64) << np.uint64(32)) | of.astype(np.uint64))
-        tok, of = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ends = np.flatnonzero(np.append(np.diff(tok) != 0, True)) + 1 if len(tok) else np.empty(0, np.int64)
-        counts = np.diff(np.append(0, ends))
-        df = np.repeat(counts, counts)
-        keep = df >= 2
-        tok, of, df = tok[keep] | np.uint64(r << 32), of[keep], df[keep]
-    order = np.argsort(of, kind="stable")
-    tok, of, df = tok[order].view(np.int64), of[order], df[order]
-    told = np.zeros(len(known), np.int64)
-    np.maximum.at(told, index, np.where(size > 0, np.arange(len(size)) + 1, 0))
-    own = np.flatnonzero((told > 0) | (np.bincount(of, minlength=len(known)) > 0))
-    lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, "right")
-    told = told[own] - 1
-    return pd.DataFrame({"cls": cls[known[own]], "n": np.where(told >= 0, size[told], 0), "need": np.where(told >= 0, need[told], 0), "late": r < 0, "toks": [tok[x:y] for x, y in zip(lo, hi)], "dfs": [df[x:y] for x, y in zip(lo, hi)]})
+    order = np.lexsort((tok, df, of))
+    tok, df, of = tok[order], df[order], of[order]
+    # Copies of a document in other batches repeat its frequent shingles.
+    new = np.append(True, (of[1:] != of[:-1]) | (df[1:] != df[:-1]) | (tok[1:] != tok[:-1])) if len(of) else np.empty(0, bool)
+    tok, df, of = tok[new], df[new], of[new]
+    slots += np.bincount(of[df < LAST], minlength=len(known))
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    keep = rank < slots[of]
+    tok, df, of = tok[keep], df[keep], of[keep]
+    return pd.DataFrame({"cls": known[of], "n": n[of], "hot": df == LAST, "tok": tok.view(np.int64)})
 
 
 def _sets(n: int):
@@ -243,7 +282,9 @@ def _verify(num: int, den: int):
     return run
 
 
-def _tile(num: int, den: int):
+def _tile(num: int, den: int, first: int | None):
+    """Pairs of different components that the bounds let pass; with first, the likeliest so many of each row."""
+
     def run(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.drop_duplicates(["cls", "own", "other"]).sort_values("n", kind="stable")
         cls, comp, n = t["cls"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64)
@@ -254,7 +295,10 @@ def _tile(num: int, den: int):
             j = np.flatnonzero(right & (comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
             if len(j):
                 most = (n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)) // 2
-                j = j[den * most >= num * (n[j] + n[i] - most)]
+                near = den * most >= num * (n[j] + n[i] - most)
+                j, most = j[near], most[near]
+                if first and len(j) > first:
+                    j = j[np.lexsort((cls[j], -most / (n[j] + n[i] - most)))[:first]]
                 a += [cls[i]] * len(j)
                 b += cls[j].tolist()
         lo, hi = np.minimum(np.array(a, np.int64), np.array(b, np.int64)), np.maximum(np.array(a, np.int64), np.array(b, np.int64))
@@ -263,6 +307,28 @@ def _tile(num: int, den: int):
     return run
 
 
+def _sweep(members: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int, first: int | None) -> DataFrame:
+    """Pairs (a, b) to verify, of classes that share a tile and lie in different components."""
+    key = ("hot", "tok")
+    labelled = members.where((F.col("cls") != F.col("pivot")) & (F.col("c") > 2)).join(roots.withColumnRenamed("v", "cls"), "cls", "left").select(*key, "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    labelled = materialize(labelled.withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.0001)).cast("int")), "labelled")
+    open_ = labelled.groupBy(*key).agg((F.min("comp") != F.max("comp")).alias("open")).where("open").drop("open")
+    bands = labelled.groupBy(*key, "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    rows = labelled.join(open_, [*key]).join(sets.select("cls", "bits"), "cls").withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
+    up, down = bands.select(*key, F.col("band").alias("at"), F.col("parts").alias("mine")), bands.select(*key, (F.col("band") - 1).alias("at"), F.col("parts").alias("above"))
+    rows = rows.join(up, [*key, "at"]).join(down, [*key, "at"], "left").withColumn("above", F.coalesce("above", F.lit(0)))
+    # Parts of a tile: the band's own (0 .. mine-1), then those of the next band; a cell compares part i with part j >= i.
+    low = F.col("at") == F.col("band")
+    part = F.pmod(F.xxhash64("cls"), F.when(low, F.col("mine")).otherwise(F.col("above"))).cast("int")
+    rows = rows.withColumn("part", part + F.when(low, 0).otherwise(F.col("mine")))
+    parts = F.sequence(F.lit(0), F.col("mine") + F.col("above") - 1)
+    cells = rows.withColumn("cell", F.explode(F.transform(parts, lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"))))).where(F.col("cell.i") < F.col("mine"))
+    cells = cells.select(*key, "at", "cell.i", "cell.j", "cls", "comp", "n", "bits", (F.col("part") == F.col("cell.i")).alias("own"), (F.col("part") == F.col("cell.j")).alias("other"))
+    cell = (*key, "at", "i", "j")
+    dealt = cells.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+    return dealt.groupBy(*cell).applyInPandas(_tile(num, den, first), "a long, b long").distinct()
+
+
 def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row for each document (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -282,14 +348,8 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
 
     known = docs.where("doc_id is not null")
     blocks = known.select("text").mapInPandas(_blocks(n, num, den, ranges, frequent), "r int, cls binary, size binary, need binary, count binary, tok binary")
-    shared = blocks.groupBy("r").applyInPandas(_shared, "cls long, n int, need int, late boolean, toks array<long>, dfs array<long>")
-    tokens = shared.select("cls", F.struct("n", "need").alias("told"), "late", F.arrays_zip(F.col("dfs").alias("df"), F.col("toks").alias("tok")).alias("t"))
-    # Rows with frequent shingles say the same whenever they repeat; the others hold each shingle once.
-    lists = tokens.groupBy("cls").agg(F.max("told").alias("told"), F.flatten(F.collect_list(F.when(~F.col("late"), F.col("t")))).alias("t"), F.first(F.when(F.col("late"), F.col("t")), ignorenulls=True).alias("u"))
-    lists = lists.withColumn("n", F.col("told.n")).withColumn("slots", F.col("told.need") + F.size("t")).where("slots > 0 and (size(t) > 0 or u is not null)")
-    lists = lists.withColumn("t", F.concat(F.sort_array("t"), F.coalesce("u", F.slice("t", 1, 0))))
-    prefix = lists.withColumn("t", F.explode(F.slice("t", F.lit(1), F.col("slots"))))
-    postings = materialize(prefix.select("cls", "n", (F.col("t.df") == LAST).alias("hot"), F.col("t.tok").alias("tok")), "postings")
+    shared = blocks.groupBy("r").applyInPandas(_shared(max(4, math.ceil(sig.count() / BUCKET_DOCS))), "bucket int, r int, cls binary, size binary, need binary, count binary, tok binary, df binary")
+    postings = materialize(shared.groupBy("bucket").applyInPandas(_prefixes, "cls long, n int, hot boolean, tok long"), "postings")
 
     # Tiles with the same members are the same work: one of them is enough.
     groups = postings.groupBy("hot", "tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("s"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("u"), F.min(F.struct(F.xxhash64("cls").alias("o"), "n", "cls")).alias("p"))
@@ -314,25 +374,12 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     edges = materialize(verified(stars), "edges")
     roots = components(edges)
 
-    # What the pivots have not joined is compared in full, tile by tile.
-    labelled = members.where((F.col("cls") != F.col("pivot")) & (F.col("c") > 2)).join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("hot", "tok", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    labelled = materialize(labelled.withColumn("band", F.floor(F.log(F.col("n")) / (math.log(den / num) * 1.0001)).cast("int")), "labelled")
-    open_ = labelled.groupBy("hot", "tok").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").drop("open")
-    bands = labelled.groupBy("hot", "tok", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    rows = labelled.join(open_, ["hot", "tok"]).join(sets.select("cls", "bits"), "cls").withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
-    up, down = bands.select("hot", "tok", F.col("band").alias("at"), F.col("parts").alias("mine")), bands.select("hot", "tok", (F.col("band") - 1).alias("at"), F.col("parts").alias("above"))
-    rows = rows.join(up, ["hot", "tok", "at"]).join(down, ["hot", "tok", "at"], "left").withColumn("above", F.coalesce("above", F.lit(0)))
-    # Parts of a tile: first the band's own parts (0 .. mine-1), then those of the next band; a cell compares part i with part j >= i.
-    part = F.pmod(F.xxhash64("cls"), F.when(F.col("at") == F.col("band"), F.col("mine")).otherwise(F.col("above"))).cast("int")
-    rows = rows.withColumn("part", part + F.when(F.col("at") == F.col("band"), 0).otherwise(F.col("mine")))
-    all_parts = F.col("mine") + F.col("above")
-    cells = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), all_parts - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"))))).where(F.col("cell.i") < F.col("mine"))
-    cells = cells.select("hot", "tok", "at", "cell.i", "cell.j", "cls", "comp", "n", "bits", (F.col("part") == F.col("cell.i")).alias("own"), (F.col("part") == F.col("cell.j")).alias("other"))
-    cell = ("hot", "tok", "at", "i", "j")
-    pairs = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).groupBy(*cell).applyInPandas(_tile(num, den), "a long, b long").distinct()
-    more = materialize(verified(pairs), "edges")
-    if not more.isEmpty():
-        roots = components(edges.union(more))
+    # What the pivots have not joined is compared tile by tile: first likely pairs, then all that are still apart.
+    for first in (FIRST, None):
+        more = materialize(verified(_sweep(members, roots, sets, num, den, first)), "edges")
+        if not more.isEmpty():
+            edges = materialize(edges.union(more), "edges")
+            roots = components(edges)
 
     per_doc = sig.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
     per_doc = materialize(per_doc, "documents")
