@@ -266,4 +266,4 @@ def upstream_area(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events WHERE value BETWEEN 0 AND 20 GROUP BY ALL")
 def gauge_windows(spark, d):
     """The statistics that the stream gives, over the whole table at once."""
-    return window_levels(table(spark, d, "events"))
+    return window_levels(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))

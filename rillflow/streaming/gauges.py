@@ -13,6 +13,6 @@ def readings(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def window_levels(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count, mean and extremes of plausible values (0 to 20) by type and window; later readings are left out."""
-    ok = events.where(F.col("value").between(0, 20)).withWatermark("ts", late)
+    ok = events.where(F.col("value").between(0, 20)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     g = ok.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "mean", "low", "high")
