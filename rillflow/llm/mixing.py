@@ -132,17 +132,17 @@ def mixed_documents(docs: DataFrame, seed: int = 8) -> DataFrame:
     """docs (all its columns) as often as the mix takes them, dealt to shards and shuffled inside each."""
     dealt, decisions, units = plan_mix(docs, seed=seed)
     per = decisions.groupBy("source").agg(F.first("blocks").alias("_n"))
-    names = docs.columns
-    rows = docs.withColumn("h", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)))
-    rows = rows.join(F.broadcast(per.withColumnRenamed("source", "_s")), F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "_n").cast("int")).drop("_s", "_n")
+    # A document's own columns travel in one, so that none clashes.
+    h = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), h.alias("h"))
+    rows = rows.join(F.broadcast(per.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "_n").cast("int")).drop("_s", "_n")
     rows = _decided(rows, decisions).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     u = units.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("copy").alias("_c"), "shard")
     few = units.count() <= BROADCAST_BLOCKS
-    rows = rows.join(F.broadcast(u) if few else u, F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("copy") == F.col("_c")))
-    order = F.xxhash64("h", "copy", F.lit(seed + 2))
+    rows = rows.join(F.broadcast(u) if few else u, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("copy") == F.col("_c")))
+    rows = rows.select("_row", "shard", F.xxhash64("h", "copy", F.lit(seed + 2)).alias("order"))
     # A shard is dealt in slices, so that no task holds a whole one; a slice is a random part of its shard.
-    slices = rows.withColumn("_o", order).repartition("shard", F.pmod("_o", F.lit(16)))
-    return slices.sortWithinPartitions("shard", "_o").select(*names)
+    return rows.repartition("shard", F.pmod("order", F.lit(16))).sortWithinPartitions("shard", "order").select("_row.*")
 
 
 def mixed_sizes(docs: DataFrame, seed: int = 8) -> DataFrame:
