@@ -6,8 +6,12 @@ after the other. Words repeat, so each task encodes every word once and joins by
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,24 +26,70 @@ CAPACITY, END = 4096, 1
 SEPARATOR, BLOCK = 49407, 262_144
 
 
+#: Marks after a lower-case letter and before a space: the tokenizer cuts there, so a word and its marks are kept apart.
+MARKS = re.compile(rb"([.,;:!?#*$%&|](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#*$%&|]*)(?=[ \t-\r]|\Z)")
+#: Words known at most, words encoded together, characters of text worked on at a time.
+KNOWN, TOGETHER, SLICE = 600_000, 256, 4_000_000
+
+
 class WordIds(dict):
     """Word to its ids as little-endian unsigned 32-bit integers; forgets everything when it grows beyond a bound."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def text(self, text: str | None) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            if len(self) > 400_000:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids[-1]
+
+    def words(self, text: str | None) -> list[bytes]:
+        """Words of a text with equal ids wherever they occur; capital ASCII letters are as small ones to the tokenizer."""
+        b = text.encode("utf-8", "surrogatepass") if text else b""
+        return b.split() if b"<|" in b else MARKS.sub(rb" \1", b.lower()).split()
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text."""
+        held: list[list[bytes]] = []
+        size = 0
+        for t in texts:
+            held.append(self.words(t))
+            size += len(t) if t else 0
+            if size >= SLICE:
+                yield from self.joined(held)
+                held, size = [], 0
+        yield from self.joined(held)
+
+    def joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        distinct = set().union(*texts)
+        if len(self) + len(distinct) > KNOWN:
+            self.clear()
+        self.learn([w for w in distinct if w not in self])
+        for words in texts:
+            yield b"".join(map(self.__getitem__, words))
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encodes words: those of letters many at a time, with bars between."""
+        text = {w: w.decode("utf-8", "replace") for w in new}
+        plain = [w for w in new if text[w].isalpha()]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" | ".join(map(text.__getitem__, g)) for g in groups], add_special_tokens=False)):
+            own = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(own == self.bar).tolist()
+            if len(ends) == len(group) - 1:
+                ids = own.tobytes()
+                for w, a, z in zip(group, [0, *(x + 1 for x in ends)], [*ends, len(own)]):
+                    self[w] = ids[4 * a : 4 * z]
+        rest = [w for w in new if w not in self]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([text[w] for w in rest], add_special_tokens=False)):
+            self[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def word_ids(path: str) -> WordIds:
+    """The words that this Python worker knows; tasks that follow each other in it share them."""
+    state = sys.modules.setdefault("_rillflow_worker", types.ModuleType("_rillflow_worker"))
+    if getattr(state, "path", None) != path:
+        state.path, state.words = path, WordIds(path)
+    return state.words
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -58,11 +108,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, last = WordIds(path), np.array([end], "<u4").tobytes()
+        cache, last = word_ids(path), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = cache.text(text) + last
+            for doc_id, ids in zip(b["doc_id"], cache.texts(b["text"])):
+                ids += last
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
@@ -84,11 +134,11 @@ def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPAR
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        cache, last, file = WordIds(path), np.array([separator], "<u4").tobytes(), TaskContext.get().partitionId()
+        cache, last, file = word_ids(path), np.array([separator], "<u4").tobytes(), TaskContext.get().partitionId()
         rest, n, mark = bytearray(), 0, np.uint32(separator)
         for b in batches:
-            for text in b["text"]:
-                ids = np.frombuffer(cache.text(text), "<u4")
+            for text in cache.texts(b["text"]):
+                ids = np.frombuffer(text, "<u4")
                 rest += (ids[ids != mark] if (ids == mark).any() else ids).tobytes() + last
                 while len(rest) >= 4 * block:
                     yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest[: 4 * block])]})
