@@ -9,10 +9,10 @@ JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
 t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n + b.n) AS n FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p WHERE 100 * both >= 85 * (n - both) UNION ALL SELECT b, a FROM p WHERE 100 * both >= 85 * (n - both)),
-r AS (SELECT doc_id, doc_id AS at FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at)
-SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n + b.n) AS n FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n - shared) UNION ALL SELECT b, a FROM p WHERE 100 * shared >= 85 * (n - shared)),
+r AS (SELECT doc_id, doc_id AS pos FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.pos)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(pos) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
 _SOLID = f"length(translate(l, {_SPACES}, ''))"
