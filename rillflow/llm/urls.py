@@ -19,6 +19,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BAD_WORDS = ("casino", "bets", "betting", "poker", "pills", "viagra", "porn", "xxx", "adserver", "doubleclick", "ads-track", "malware", "phishing")
 #: Levels of a template; a node with so many children, which are so large a share of its pages, has a wildcard.
 DEPTH, CHILDREN, SPREAD = 4, 8, 0.5
+#: Parts of a host's pages in the join with its wildcards.
+SALTS = 16
 #: Weight of the level above in smoothing, the smoothed share that rejects, and z below which siblings are alike.
 PRIOR, REJECT, ALIKE = 1.0, 0.7, 1.96
 VARIABLE = r"^(\d+|\d+[-_.]\w+|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|[\w-]*\d{3,}[\w-]*)(\.[a-z]{2,5})?$"
@@ -66,8 +68,10 @@ def template_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = No
     nodes = df.where("host != '' and size(_s) > 0").select("host", F.posexplode("_s").alias("_d", "_seg"), "_s").where("_seg not in ('*', '**')")
     nodes = nodes.groupBy("host", F.array_join(F.slice("_s", F.lit(1), F.col("_d")), "/").alias("above"), "_seg").agg(F.count("*").alias("n"))
     wide = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("n").alias("n")).where((F.col("children") >= CHILDREN) & (F.col("children") >= F.col("n") * SPREAD))
-    wide = wide.groupBy(F.col("host").alias("_h")).agg(F.collect_set("above").alias("wide"))
-    df = df.join(wide, F.col("host") == F.col("_h"), "left").drop("_h")
+    # A hot host's pages meet copies of its row, a share of them each.
+    wide = wide.groupBy(F.col("host").alias("_h")).agg(F.collect_set("above").alias("wide")).withColumn("_hs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = df.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    df = df.join(wide, (F.col("host") == F.col("_h")) & (F.col("_salt") == F.col("_hs")), "left").drop("_h", "_hs", "_salt")
     generalised = F.transform("_s", lambda s, i: F.when(F.array_contains("wide", F.array_join(F.slice("_s", F.lit(1), i), "/")), F.lit("*")).otherwise(s))
     df = df.withColumn("_t", F.array_join(F.when(F.col("wide").isNull(), F.col("_s")).otherwise(generalised), "/")).drop("wide", "_s")
 
