@@ -77,7 +77,11 @@ def line_quality(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     })
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))
     out = out.withColumn("lost_share", F.when(F.col("word_chars") > 0, 1 - F.col("_left") / F.col("word_chars")).otherwise(F.lit(0.0)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= most_lost)).drop("_t", "_w", "_l", "_h", "_s", "_f", "_left")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= most_lost))
+    # Through a generator, a filter on the result stays above the projections, which would else be computed again inside it.
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned_text", "lost_share", "kept")
+    rest = [c for c in docs.columns if c not in made]
+    return out.select(*rest, F.explode(F.array(F.struct(*made))).alias("_q")).select(*rest, "_q.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
