@@ -14,10 +14,20 @@ from rillflow.llm.secrets import redact, secret_spans
 from rillflow.llm.tokens import token_pieces
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The text beside all columns in one, so that none clashes with what an operator adds."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
+
+
+def _with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs again, with a new text and its length."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return df.select(*((new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
-    kept = line_quality(docs).where("kept").withColumn("text", F.col("cleaned_text"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _with_text(line_quality(_apart(docs)).where("kept"), docs, "cleaned_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    return redact(secret_spans(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _with_text(redact(secret_spans(_apart(docs))), docs, "text")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
