@@ -22,6 +22,11 @@ def _first(best: Column, values: list[Column], results: list) -> Column:
     return out
 
 
+def _code(k: Column) -> Column:
+    """Direction code of neighbour k."""
+    return F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), k + 1)
+
+
 def d8(cells: DataFrame) -> DataFrame:
     """Steepest descent: r, c, h, dir. Level neighbours count, the first of equally steep ones wins, 0 is a terminal."""
     n = neighbours(cells, "h").where("h is not null")
@@ -108,14 +113,14 @@ def steepest_exit(labels: DataFrame) -> DataFrame:
     n = neighbours(labels, "label", "h").where("label is not null")
     ways = F.array(*(F.when(~F.col(f"label_{k}").eqNullSafe(F.col("label")) & F.col(f"h_{k}").isNotNull(), F.struct(((F.col("h") - F.col(f"h_{k}")) / FACTORS[k]).alias("slope"), (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"), F.lit(-k).alias("nk"))) for k in range(8)))
     best = n.select("label", F.array_max(ways).alias("w")).groupBy("label").agg(F.max("w").alias("w")).where("w is not null")
-    return best.select("label", (-F.col("w.nr")).alias("r"), (-F.col("w.nc")).alias("c"), F.shiftleft(F.lit(1), -F.col("w.nk")).alias("dir"), "w.slope")
+    return best.select("label", (-F.col("w.nr")).alias("r"), (-F.col("w.nc")).alias("c"), _code(-F.col("w.nk")).alias("dir"), "w.slope")
 
 
 def lowest_resolved(cells: DataFrame) -> DataFrame:
     """For cells without a direction (r, c, h, dir): towards the lowest neighbour that has one, the last of equal ones."""
     n = neighbours(cells, "h", "dir").where("dir is null and h is not null")
     ways = F.array(*(F.when(F.col(f"dir_{k}").isNotNull(), F.struct(F.col(f"h_{k}").alias("h"), F.lit(-k).alias("nk"))) for k in range(8)))
-    return n.select("r", "c", F.array_min(ways).alias("w")).select("r", "c", F.when(F.col("w").isNotNull(), F.shiftleft(F.lit(1), -F.col("w.nk"))).alias("dir"))
+    return n.select("r", "c", F.array_min(ways).alias("w")).select("r", "c", F.when(F.col("w").isNotNull(), _code(-F.col("w.nk"))).alias("dir"))
 
 
 def resample_nearest(cells: DataFrame, factor: int) -> DataFrame:
