@@ -22,14 +22,14 @@ from .common import materialize, read
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 4096, 1
-#: The id that ends a document in a flat token file, and tokens in a block of one.
-SEPARATOR, BLOCK = 49407, 262_144
+#: The id that ends a document in a flat token file, tokens in a block of one, and how a token is stored.
+SEPARATOR, BLOCK, KIND = 49407, 65_536, "<u2"
 
 
 #: Marks after a lower-case letter and before a space: the tokenizer cuts there, so a word and its marks are kept apart.
 MARKS = re.compile(rb"([.,;:!?#*$%&|](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#*$%&|]*)(?=[ \t-\r]|\Z)")
 #: Words known at most, words encoded together, characters of text worked on at a time.
-KNOWN, TOGETHER, SLICE = 600_000, 256, 4_000_000
+KNOWN, TOGETHER, SLICE = 400_000, 256, 4_000_000
 
 
 class WordIds(dict):
@@ -123,8 +123,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, kind)
 
 
-def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
-    """Flat token streams of docs without any index: file, block, tokens (unsigned 32-bit little-endian binary).
+def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = KIND) -> DataFrame:
+    """Flat token streams of docs without any index: file, block, tokens (little-endian binary, of 16 bits by default).
 
     Every task writes one stream, in which each document's ids are followed by the separator; the stream is cut into
     blocks of a fixed number of tokens, wherever documents end. The separator is no id of ordinary text here.
@@ -134,15 +134,15 @@ def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPAR
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        cache, last, file = word_ids(path), np.array([separator], "<u4").tobytes(), TaskContext.get().partitionId()
-        rest, n, mark = bytearray(), 0, np.uint32(separator)
+        cache, last, file = word_ids(path), np.array([separator], dtype).tobytes(), TaskContext.get().partitionId()
+        rest, n, mark, step = bytearray(), 0, np.uint32(separator), block * np.dtype(dtype).itemsize
         for b in batches:
             for text in cache.texts(b["text"]):
                 ids = np.frombuffer(text, "<u4")
-                rest += (ids[ids != mark] if (ids == mark).any() else ids).tobytes() + last
-                while len(rest) >= 4 * block:
-                    yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest[: 4 * block])]})
-                    del rest[: 4 * block]
+                rest += ids[ids != mark].astype(dtype).tobytes() + last
+                while len(rest) >= step:
+                    yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest[:step])]})
+                    del rest[:step]
                     n += 1
         if rest:
             yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest)]})
@@ -150,7 +150,7 @@ def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPAR
     return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "file long, block long, tokens binary")
 
 
-def file_blocks(spark, pattern: str, block: int = BLOCK, width: int = 4) -> DataFrame:
+def file_blocks(spark, pattern: str, block: int = BLOCK, width: int = 2) -> DataFrame:
     """Blocks of raw token files on any store that Spark reads: file is a hash of the path."""
     raw = spark.read.format("binaryFile").load(pattern)
     step = block * width
@@ -159,7 +159,7 @@ def file_blocks(spark, pattern: str, block: int = BLOCK, width: int = 4) -> Data
     return cut.select("file", "block", F.substring(F.col("content"), (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("tokens"))
 
 
-def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = "<u4") -> DataFrame:
+def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = KIND) -> DataFrame:
     """Documents of flat token streams (file, block, tokens): file, ordinal (from 0), start, n_tokens (without separator).
 
     Each block is searched for separators at once; what a block leaves open is stitched by a prefix scan over blocks, which
