@@ -44,3 +44,21 @@ def test_empty_and_native(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     out = template_filter(df)
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_templates_without_labels_have_their_parents_share(spark):
+    rows = [(f"http://{host}.com/shop/{kind}/{i}", int(host != "good")) for host in ("bad", "good", "mixed") for kind in ("hats", "bags", "toys", "cups") for i in range(10)]
+    quiet = {"http://bad.com/shop/quiet/1": "block", "http://bad.com/else/where/1": "block", "http://mixed.com/shop/quiet/1": "block", "http://good.com/shop/quiet/1": "allow", "http://new.com/shop/quiet/1": "allow"}
+    # Many pages without a bad label are evidence of their own.
+    plain = {f"http://mixed.com/help/faq/{i}": "allow" for i in range(100)}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*(u for u, _ in rows), *quiet, *plain])], "page_id long, url string")
+    out = {r["url"]: r["verdict"] for r in template_filter(df, labels=spark.createDataFrame(rows, "url string, bad int")).collect()}
+    assert {u: out[u] for u in quiet | plain} == quiet | plain
+
+
+def test_wildcards_are_found_under_wildcards(spark):
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    urls = [f"http://wide.com/{word(i)}/posts/{word(100 + 2 * i + j)}" for i in range(60) for j in (0, 1)] + [f"http://wide.com/about/us/{i}" for i in range(120)]
+    labels = spark.createDataFrame([(u, 1) for u in urls[:120] if urls.index(u) % 3] + [(u, 0) for u in urls[120:]], "url string, bad int")
+    out = {r["url"]: r["verdict"] for r in template_filter(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), labels=labels).collect()}
+    assert {out[u] for u in urls[:120]} == {"block"} and {out[u] for u in urls[120:]} == {"allow"}
