@@ -58,3 +58,17 @@ def test_redaction(spark):
 def test_no_python_or_shuffle(odd_docs):
     plan = secret_spans(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_battery_finds_every_encoding(spark):
+    rng = random.Random(11)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [(upper + "234567", 32), (upper.lower() + "0123456789", 24), ("0123456789ABCDEF", 24), (upper, 24), (upper.lower(), 24), ("0123456789", 32), (upper + upper.lower() + "0123456789", 24)]
+    planted = [["".join(rng.choices(letters, k=n)) for _ in range(50)] for letters, n in kinds]
+    plain = ["donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION_GUIDE", "ANTICONSTITUTIONNELLEMENT", "src/main/java/org/example/service/UserRepository", "getElementsByClassNameAndAttribute", "otorrinolaringologicamente", "2024-01-02/2024-03-04", "978-3-16-148410-0-2024", "12345678901234567890", "00000000000000000001"]
+    tokens = [t for ts in planted for t in ts] + plain
+    got = spans(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string"))
+    found = [any(x[1] == 3 and x[0] == 4 and x[2] == 4 + len(t) or x[1] < 3 for x in got[i]) for i, t in enumerate(tokens)]
+    for i, (letters, _) in enumerate(kinds):
+        assert sum(found[50 * i : 50 * i + 50]) >= 45, letters
+    assert [t for t, f in zip(plain, found[350:]) if f] == []
