@@ -31,14 +31,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five words and a similarity of 0.8: the one with the smallest doc_id."""
-    found = materialize(ngram_jaccard(docs, 5, 80, 100), "groups")
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    """One row of each group at five words and a similarity of 0.8: the one with the smallest doc_id.
+
+    A row is known by its doc_id and text together (a 64-bit hash of both). Rows that share a doc_id but whose texts are
+    not linked all stay; rows equal in both are one document, of which one row stays. Rows with a null doc_id take no part.
+    """
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    # Without nulls, beside which pandas would round the keys to 53 bits.
+    found = ngram_jaccard(keyed.where("_key is not null").select(F.col("_key").alias("doc_id"), "text"), 5, 80, 100)
+    found = materialize(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "groups")
+    linked = found.where("_group != _key").select("_key", "_group")
+    members = materialize(linked.union(linked.select("_group", "_group")).distinct(), "members")
+    ids = keyed.select("_key", "doc_id").join(members, "_key").groupBy("_group").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    gone = materialize(members.join(ids.select(F.col("first._key").alias("_key")), "_key", "left_anti").select("_key"), "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    kept = keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti")
+    if not found.groupBy("_key").count().where("count > 1").isEmpty():
+        kept = kept.where("_key is not null").dropDuplicates(["_key"]).unionByName(kept.where("_key is null"))
+    return kept.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,13 @@ def test_near_duplicates_keep_one(spark, odd_docs):
     assert sorted(i for i in ids if i is not None) == sorted({c for _, c in found if c is not None}) and ids.count(None) == 2
 
 
+def test_near_duplicates_go_by_row(spark, prose):
+    copy, unique, one, two, three = (prose(80, i) for i in range(21, 26))
+    data = [(3, copy), (7, copy + " end"), (7, unique), (8, one), (8, two), (9, three), (9, three), (None, copy)]
+    kept = P.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert rows(kept) == rows(spark.createDataFrame([(3, copy), (7, unique), (8, one), (8, two), (9, three), (None, copy)], "doc_id long, text string"))
+
+
 def test_each_stage_takes_odd_and_empty_tables(spark, odd_docs):
     full = odd_docs.withColumn("n_chars", odd_docs["doc_id"])
     for df in (full, full.limit(0)):
