@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -25,22 +26,29 @@ CAPACITY, END = 4096, 1
 #: The id that ends a document in a flat token file, tokens in a block of one, and how a token is stored.
 SEPARATOR, BLOCK, KIND = 49407, 65_536, "<u2"
 
-
 #: Marks after a lower-case letter and before a space: the tokenizer cuts there, so a word and its marks are kept apart.
 MARKS = re.compile(rb"([.,;:!?#*$%&|](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#*$%&|]*)(?=[ \t-\r]|\Z)")
-#: Words known at most, words encoded together, characters of text worked on at a time.
-KNOWN, TOGETHER, SLICE = 400_000, 256, 4_000_000
+#: Words of letters of which the tokenizer changes no more than their case.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+#: Words of a generation, characters of text worked on at a time.
+KNOWN, SLICE = 200_000, 4_000_000
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian unsigned 32-bit integers; forgets everything when it grows beyond a bound."""
+    """Word to its ids as little-endian unsigned 32-bit integers.
+
+    Words live in two generations: those of the latest texts, and those before. When the first is full it becomes the
+    second, whose words are forgotten unless a text brings them back, so frequent words are encoded once.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids[-1]
+        self.older: dict[bytes, bytes] = {}
+        # Letters as the model sees them: one character for each byte. The plain ones all start with the byte C3.
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
 
     def words(self, text: str | None) -> list[bytes]:
         """Words of a text with equal ids wherever they occur; capital ASCII letters are as small ones to the tokenizer."""
@@ -60,28 +68,31 @@ class WordIds(dict):
         yield from self.joined(held)
 
     def joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        distinct = set().union(*texts)
-        if len(self) + len(distinct) > KNOWN:
+        if len(self) > KNOWN:
+            self.older = dict(self)
             self.clear()
-        self.learn([w for w in distinct if w not in self])
+        new = []
+        for w in set().union(*texts):
+            if w not in self:
+                if w in self.older:
+                    self[w] = self.older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
         for words in texts:
             yield b"".join(map(self.__getitem__, words))
 
     def learn(self, new: list[bytes]) -> None:
-        """Encodes words: those of letters many at a time, with bars between."""
-        text = {w: w.decode("utf-8", "replace") for w in new}
-        plain = [w for w in new if text[w].isalpha()]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" | ".join(map(text.__getitem__, g)) for g in groups], add_special_tokens=False)):
-            own = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(own == self.bar).tolist()
-            if len(ends) == len(group) - 1:
-                ids = own.tobytes()
-                for w, a, z in zip(group, [0, *(x + 1 for x in ends)], [*ends, len(own)]):
-                    self[w] = ids[4 * a : 4 * z]
-        rest = [w for w in new if w not in self]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([text[w] for w in rest], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        """Encodes words: plain ones by the model alone, the others by the whole tokenizer."""
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in new:
+            if PLAIN.match(w):
+                text = w.decode("ascii") if w.isascii() else w.decode("utf-8").lower().translate(self.letters)
+                self[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in tokenize(text)]) else b""
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 def word_ids(path: str) -> WordIds:
