@@ -12,6 +12,7 @@ import struct
 import sys
 import types
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from .common import materialize, read
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 4096, 1
-#: The id that ends a document in a flat token file, tokens in a block of one, and how a token is stored.
-SEPARATOR, BLOCK, KIND = 49407, 65_536, "<u2"
+#: The id that ends a document in a flat token file, what stands there for a text's own token of that id (the first id
+#: beyond the vocabulary), tokens in a block, how a token is stored, and blocks in a group of the prefix scan.
+SEPARATOR, STAND_IN, BLOCK, KIND, GROUP = 49407, 49408, 65_536, "<u2", 4096
 
 #: Marks after a lower-case letter and before a space: the tokenizer cuts there, so a word and its marks are kept apart.
 MARKS = re.compile(rb"([.,;:!?#*$%&|](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#*$%&|]*)(?=[ \t-\r]|\Z)")
@@ -135,10 +137,12 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = KIND) -> DataFrame:
-    """Flat token streams of docs without any index: file, block, tokens (little-endian binary, of 16 bits by default).
+    """Flat token streams of docs (doc_id, text) without any index: file, block, tokens, doc_ids.
 
     Every task writes one stream, in which each document's ids are followed by the separator; the stream is cut into
-    blocks of a fixed number of tokens, wherever documents end. The separator is no id of ordinary text here.
+    blocks of a fixed number of tokens (little-endian binary, of 16 bits by default), wherever documents end. doc_ids names,
+    in order, the documents that end in a block; null ids stay null. A text's own tokens of the separator's id are kept as
+    STAND_IN, which no text yields. A null or empty text is a separator alone.
     """
     path = path or vocabulary()
 
@@ -146,19 +150,30 @@ def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPAR
         from pyspark import TaskContext
 
         cache, last, file = word_ids(path), np.array([separator], dtype).tobytes(), TaskContext.get().partitionId()
-        rest, n, mark, step = bytearray(), 0, np.uint32(separator), block * np.dtype(dtype).itemsize
+        rest, n, step, width = bytearray(), 0, block * np.dtype(dtype).itemsize, np.dtype(dtype).itemsize
+        own: deque[tuple[int, str | None]] = deque()
+
+        def cut(size: int) -> pd.DataFrame:
+            ids = []
+            while own and own[0][0] < n * block + size // width:
+                ids.append(own.popleft()[1])
+            return pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest[:size])], "doc_ids": [ids]})
+
         for b in batches:
-            for text in cache.texts(b["text"]):
+            for doc_id, text in zip(b["doc_id"], cache.texts(b["text"])):
                 ids = np.frombuffer(text, "<u4")
-                rest += ids[ids != mark].astype(dtype).tobytes() + last
+                rest += np.where(ids == separator, STAND_IN, ids).astype(dtype).tobytes() + last
+                own.append((n * block + len(rest) // width - 1, doc_id))
                 while len(rest) >= step:
-                    yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest[:step])]})
+                    yield cut(step)
                     del rest[:step]
                     n += 1
         if rest:
-            yield pd.DataFrame({"file": [file], "block": [n], "tokens": [bytes(rest)]})
+            yield cut(len(rest))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "file long, block long, tokens binary")
+    # As text, large ids stay whole beside nulls.
+    known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return known.mapInPandas(run, "file long, block long, tokens binary, doc_ids array<string>")
 
 
 def file_blocks(spark, pattern: str, block: int = BLOCK, width: int = 2) -> DataFrame:
@@ -171,27 +186,37 @@ def file_blocks(spark, pattern: str, block: int = BLOCK, width: int = 2) -> Data
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = KIND) -> DataFrame:
-    """Documents of flat token streams (file, block, tokens): file, ordinal (from 0), start, n_tokens (without separator).
+    """Documents of flat token streams (file, block, tokens, and doc_ids where known): doc_id, file, ordinal (from 0), start,
+    n_tokens (without separator).
 
-    Each block is searched for separators at once; what a block leaves open is stitched by a prefix scan over blocks, which
-    carries the number of separators so far and the place of the last. Tokens after a stream's last separator form no
-    document. All blocks but a stream's last hold exactly `block` tokens. An empty table gives no rows.
+    Each block is searched for separators at once. What it leaves open is stitched by a prefix scan over two numbers a
+    block, the count of separators so far and the place of the last: first over groups of GROUP blocks, then inside each
+    group, so that no task holds a whole stream. Tokens after a stream's last separator form no document. All blocks but
+    a stream's last hold exactly `block` tokens. Repeated blocks are not expected. An empty table gives no rows.
     """
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at = [np.flatnonzero(np.frombuffer(t, dtype, count=len(t) // width) == separator) for t in b["tokens"]]
-            yield pd.DataFrame({"file": b["file"], "block": b["block"], "ends": at})
+            yield pd.DataFrame({"file": b["file"], "block": b["block"], "ends": at, "doc_ids": b["doc_ids"]})
 
-    found = blocks.select("file", "block", "tokens").mapInPandas(run, "file long, block long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ids = "doc_ids" if "doc_ids" in blocks.columns else F.lit(None).cast("array<string>").alias("doc_ids")
+    found = materialize(blocks.select("file", "block", "tokens", ids).mapInPandas(run, "file long, block long, ends array<long>, doc_ids array<string>"), "separators")
     base = F.col("block") * block
-    summed = found.withColumn("_n", F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0).cast("long")))
-    summed = summed.withColumn("_last", F.coalesce(F.max(F.when(F.size("ends") > 0, base + F.element_at("ends", -1))).over(before), F.lit(-1).cast("long")))
-    docs = summed.select("file", "_n", "_last", base.alias("_base"), "ends", F.posexplode("ends").alias("i", "end"))
+    last = F.when(F.size("ends") > 0, base + F.element_at("ends", -1))
+    narrow = found.select("file", "block", F.floor(F.col("block") / GROUP).alias("_g"), F.size("ends").cast("long").alias("n"), last.alias("last"))
+
+    def before(c: str, f, *by: str):
+        return f(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1))
+
+    groups = narrow.groupBy("file", "_g").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    groups = groups.select("file", "_g", before("n", F.sum, "file", "_g").alias("gn"), before("last", F.max, "file", "_g").alias("glast"))
+    inside = narrow.select("file", "block", "_g", before("n", F.sum, "file", "_g", "block").alias("bn"), before("last", F.max, "file", "_g", "block").alias("blast"))
+    carry = inside.join(groups, ["file", "_g"]).select("file", "block", (F.coalesce("gn", F.lit(0)) + F.coalesce("bn", F.lit(0))).alias("_n"), F.coalesce("blast", "glast", F.lit(-1)).alias("_last"))
+    docs = found.join(carry, ["file", "block"]).select("file", "_n", "_last", base.alias("_base"), "ends", "doc_ids", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") > 0, F.col("_base") + F.get("ends", F.col("i") - 1)).otherwise(F.col("_last")) + 1
-    return docs.select("file", (F.col("_n") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("_base") + F.col("end") - start).alias("n_tokens"))
+    return docs.select(F.get("doc_ids", F.col("i")).cast("long").alias("doc_id"), "file", (F.col("_n") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("_base") + F.col("end") - start).alias("n_tokens"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

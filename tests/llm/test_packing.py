@@ -62,10 +62,12 @@ def test_empty_tables(no_docs):
 
 
 def test_separator_scan_over_small_blocks(odd_docs, tokenizer):
-    n = sorted(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd_docs.collect())
+    by_id = sorted((r["doc_id"] or -1, len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
+    n = sorted(x for _, x in by_id)
     for block in (7, 1000, BLOCK):
         out = separator_scan(flat_blocks(odd_docs.repartition(3), block=block), block=block).collect()
         assert sorted(r["n_tokens"] for r in out) == n
+        assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in out) == by_id
         for file in {r["file"] for r in out}:
             own = sorted((r["ordinal"], r["start"], r["n_tokens"]) for r in out if r["file"] == file)
             assert [o for o, _, _ in own] == list(range(len(own)))
@@ -79,3 +81,35 @@ def test_raw_files(spark, tmp_path):
     np.array([], "<u2").tofile(tmp_path / "c.bin")
     out = separator_scan(file_blocks(spark, str(tmp_path / "*.bin"), 2, 2), 9, 2, "<u2").collect()
     assert sorted((r["ordinal"], r["start"], r["n_tokens"]) for r in out) == [(0, 0, 0), (0, 0, 2), (1, 3, 0), (2, 4, 3)]
+
+
+def test_prefix_scan_in_groups(spark, monkeypatch):
+    import rillflow.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "GROUP", 3)
+    docs = spark.createDataFrame([(i, "a " * (i % 23)) for i in range(200)], "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["n_tokens"] for r in separator_scan(flat_blocks(docs, block=5), block=5).collect()} == {i: i % 23 for i in range(200)}
+
+
+def test_separator_in_a_text(spark, tokenizer):
+    docs = spark.createDataFrame([(2**53 + 1, "a <|endoftext|> b"), (None, "c"), (None, None)], "doc_id long, text string").coalesce(1)
+    assert [(r["doc_id"], r["n_tokens"]) for r in separator_scan(flat_blocks(docs, block=2), block=2).orderBy("ordinal").collect()] == [(2**53 + 1, 3), (None, 1), (None, 0)]
+
+
+def test_words_equal_the_tokenizer(tokenizer):
+    from rillflow.llm.tokens import WordIds
+
+    rng, words = np.random.default_rng(5), WordIds(vocabulary())
+    letters = list("abcdefghijklmnopqrstuvwxyzABCZßàéüÿÀÉÞŒœIıİΣσς'.,!?#<|>0123456789_-+/ \n\t") + ["中", "😀", "e\u0301", "\u212b", "ﬁ", "\x00", "\u200b"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    for text, ids in zip(texts, words.texts(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_come_back_from_the_older_generation(monkeypatch, tokenizer):
+    import rillflow.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "KNOWN", 3)
+    monkeypatch.setattr(tokens, "SLICE", 10)
+    words, texts = tokens.WordIds(vocabulary()), ["one two three", "four five one", "six one seven eight", "one nine ten", "two one"] * 3
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.texts(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
