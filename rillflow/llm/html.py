@@ -1,9 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a path of tags from the root. Per path, characters and punctuation are added up and divided by the
-number of nodes; the two ratios are smoothed along the page's order of paths, fused by their product, and compared with a
-threshold made of their spread. Paths above it are content; the page's main block is the element that holds most of the
-content's characters, and all of its text outside of menus, adverts, forms, notices and comments is the result.
+Every text node has a path of tags from the root. Per path, characters outside links and punctuation are added up and
+divided by the number of nodes; the two ratios are smoothed along the page's order of paths, fused by their product, and
+compared with a share of their mean. Text nodes of paths above it are content; the page's main block is the smallest
+element that covers nearly all of it (an article or main element needs to cover half). Of its other paths, those made of
+links go. Menus, adverts, forms, notices and comments, told by their element or class, take no part.
+
+One pass over the page, one over its elements: both linear in the page's length, however tags are left open.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,150 +23,218 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style textarea title noscript iframe xmp noembed noframes".split()}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose text is never content, and words of class, id and role that tell the same.
+#: Elements that may be the main block.
+HOLDERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hgroup li td th tr tbody thead tfoot table ul ol dl dt dd blockquote pre caption figcaption figure summary address".split())
+#: Elements whose text is never content; a header is the page's unless it is an article's own.
 NOISE = frozenset("nav header footer aside form script style noscript iframe template select button textarea head title svg canvas object menu dialog option datalist label audio video math".split())
+#: Words of class, id and role that tell the same, and words that only go with them.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promotion promoted sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended "
     "comment comments commentlist disqus respond reply replies complementary contentinfo search pagination pager widget widgets toolbar alert skip-link".split()
 )
-#: What closes an open <p>, and what closes an open element of its own kind.
+WITH_NOISE = frozenset("site page main global top bottom left right list item items link links button buttons bar box container wrapper wrap area section block slot posts form inner outer row column panel message icons media primary secondary skip to up 1 2 3".split())
+#: What closes an open <p>.
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
+#: Elements that end an open one of their kind, by kind; and those inside which a kind starts anew.
+KINDS = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3, "option": 4, "p": 5}
+ANEW = {"ul": (0,), "ol": (0,), "menu": (0,), "dl": (1,), "table": (2, 3), "tbody": (2, 3), "thead": (2, 3), "tfoot": (2, 3), "tr": (3,), "select": (4,), "datalist": (4,)}
 STOPS = frozenset(".,;:!?…。、，；：！？")
 SPACE = re.compile(r"\s+")
+#: Share of the mean ratio that makes content; shares of the content that the main block, and an article, cover.
+THRESHOLD, COVER, ARTICLE = 0.5, 0.95, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "noise", "path", "content", "semantic")
+    """An element: its number, tag, parent, path, kind of noise, whether it is in noise and in a link, and open elements."""
+
+    __slots__ = ("number", "tag", "parent", "path", "own", "noise", "link", "open")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.content = tag, parent, 0.0
-        self.noise = noise or (parent is not None and parent.noise)
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.semantic = tag in ("article", "main")
+    def __init__(self, number: int, tag: str, parent: Node | None, path: int, own: int):
+        self.number, self.tag, self.parent, self.path, self.own = number, tag, parent, path, own
+        # What never is content holds none; the rest is settled when the page is known.
+        self.noise = own == 2 or (parent is not None and parent.noise)
+        self.link = tag == "a" or (parent is not None and parent.link)
+        here = parent.open if parent else (None,) * 6
+        anew = (*ANEW.get(tag, ()), *((5,) if tag in BLOCKS and tag != "p" else ()))
+        if anew or tag in KINDS:
+            own = [None if k in anew else x for k, x in enumerate(here)]
+            if tag in KINDS:
+                own[KINDS[tag]] = self
+            here = tuple(own)
+        self.open = here
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    if tag in NOISE:
+def noisy_name(word: str) -> bool:
+    """Whether a word of a class names what is no content: by itself, or in parts which all say so or go with it."""
+    if word in NOISE_WORDS:
         return True
+    parts = re.split("[-_]", word)
+    return len(parts) > 1 and any(p in NOISE_WORDS for p in parts) and all(p in NOISE_WORDS or p in WITH_NOISE for p in parts)
+
+
+def noise_of(tag: str, attributes: str, in_article: bool) -> int:
+    """2 for what is never content, 1 for what its class calls noise, else 0."""
+    if tag in NOISE and not (tag == "header" and in_article):
+        return 2
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(w in NOISE_WORDS or any(p in NOISE_WORDS for p in re.split(r"[-_]", w)) for w in value.split()):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(map(noisy_name, value.split())):
+            return 1
+    return 0
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
+    """Elements in page order, and text nodes: element, number of the block, decoded text."""
+    nodes, texts = [Node(0, "", None, 0, 0)], []
+    paths: dict[tuple[int, str], int] = {}
+    here, at, block, end, opened, articles = nodes[0], 0, 0, len(page), Counter(), 0
+
+    def text(a: int, z: int) -> None:
+        if a < z:
+            x = page[a:z]
+            texts.append((here, block, _html.unescape(x) if "&" in x else x))
 
+    def close(node: Node) -> None:
+        nonlocal here, articles
+        while here is not node:
+            opened[here.tag] -= 1
+            articles -= here.tag in ("article", "main")
+            here = here.parent
+        opened[node.tag] -= 1
+        articles -= node.tag in ("article", "main")
+        here = node.parent
 
-def text_nodes(page: str) -> list[tuple[Node, int, str]]:
-    """Text nodes in page order: element, number of the block, decoded text."""
-    root = Node("", None, False)
-    here, at, block, out = root, 0, 0, []
-    end = len(page)
     while at < end:
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            out.append((here, block, _html.unescape(text) if "&" in text else text))
-        if not m:
+        lt = page.find("<", at)
+        while lt >= 0 and not (page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] in ("/", "!", "?")):
+            lt = page.find("<", lt + 1) if lt + 1 < end else -1
+        if lt < 0:
+            text(at, end)
             break
-        at = m.end()
-        if not m[2]:
+        text(at, lt)
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = stop + 3 if stop >= 0 else end
             continue
-        tag = m[2].lower()
+        m = TAG.match(page, lt) or START.match(page, lt)
+        gt = m.end() - 1 if m and m.re is TAG else page.find(">", lt)
+        if gt < 0:
+            text(lt, end)
+            break
+        at = gt + 1
+        if not m:
+            continue
+        tag, attributes = m[2].lower(), page[m.end(2) : gt]
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            if tag in BLOCKS:
-                block += 1
+            if opened[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
+            block += tag in BLOCKS
             continue
         if tag in VOID:
-            if tag == "hr":
-                block += 1
-            elif tag == "br":
-                out.append((here, block, " "))
+            block += tag == "hr"
+            if tag == "br":
+                texts.append((here, block, " "))
             continue
-        if tag in BLOCKS:
-            block += 1
-            if tag in CLOSES_P:
-                node = here
-                while node is not root and node.tag != "p":
-                    node = node.parent if node.tag not in BLOCKS else root
-                if node is not root:
-                    here = node.parent
-        if tag in SIBLINGS:
-            own, bounds = SIBLINGS[tag]
-            node, last = here, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in own:
-                    last = node
-                node = node.parent
+        block += tag in BLOCKS
+        if tag in CLOSES_P and here.open[5] is not None:
+            close(here.open[5])
+        kind = KINDS.get(tag)
+        if kind is not None and tag != "p":
+            last = here.open[kind] or (here.open[3] if tag == "tr" else None)
             if last is not None:
-                here = last.parent
-        if m[3].endswith("/") and tag in ("svg", "path", "math", "use"):
+                close(last)
+        if attributes.endswith("/") and tag in ("svg", "path", "math", "use"):
             continue
-        here = Node(tag, here, is_noise(tag, m[3]))
+        own = 0 if here.noise else noise_of(tag, attributes, articles > 0)
+        here = Node(len(nodes), tag, here, paths.setdefault((here.path, tag), len(paths) + 1), own)
+        nodes.append(here)
+        opened[tag] += 1
+        articles += tag in ("article", "main")
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            stop = close.start() if close else end
+            shut = RAW[tag].search(page, at)
+            stop = shut.start() if shut else end
             if not here.noise:
-                out.append((here, block, _html.unescape(page[at:stop])))
-            at = close.end() if close else end
-            here = here.parent
+                text(at, stop)
+            at = shut.end() if shut else end
+            close(here)
+    return nodes, texts
+
+
+def solid(text: str) -> int:
+    """Characters that are no white space."""
+    return len(SPACE.sub("", text))
+
+
+def path_ratios(texts: list[tuple[Node, int, str]]) -> dict[int, float]:
+    """The fused ratio of each path, from text nodes."""
+    sums: dict[int, list[float]] = {}
+    for n, _, t in texts:
+        if size := solid(t):
+            r = sums.setdefault(n.path, [0.0, 0.0, 0.0])
+            r[0] += 0 if n.link else size
+            r[1] += sum(map(t.count, STOPS))
+            r[2] += 1
+    per = [(a / n, b / n) for a, b, n in sums.values()]
+    out = {}
+    for i, p in enumerate(sums):
+        near = [(math.exp(-((i - j) ** 2) / 2), per[j]) for j in range(max(0, i - 2), min(len(per), i + 3))]
+        whole = sum(w for w, _ in near)
+        out[p] = sum(w * r[0] for w, r in near) / whole * (1 + sum(w * r[1] for w, r in near) / whole)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, one block a line; empty if there is none."""
-    nodes = [(n, b, t) for n, b, t in text_nodes(page) if not n.noise] if page else []
-    ratio: dict[str, list[float]] = {}
-    for n, _, t in nodes:
-        if solid := len(SPACE.sub("", t)):
-            r = ratio.setdefault(n.path, [0.0, 0.0, 0.0])
-            r[0] += solid
-            r[1] += sum(map(t.count, STOPS))
-            r[2] += 1
-    if not ratio:
+    if not page:
         return ""
-    paths = list(ratio)
-    fused = []
-    for i in range(len(paths)):
-        near = [(math.exp(-((i - j) ** 2) / 2), ratio[paths[j]]) for j in range(max(0, i - 2), min(len(paths), i + 3))]
-        whole = sum(w for w, _ in near)
-        fused.append(sum(w * r[0] / r[2] for w, r in near) / whole * (1 + sum(w * r[1] / r[2] for w, r in near) / whole))
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    chosen = {p for p, x in zip(paths, fused) if x >= mean - spread}
-    holders: dict[int, Node] = {}
-    total = 0.0
-    for n, _, t in nodes:
-        if n.path in chosen and (solid := len(SPACE.sub("", t))):
-            total += solid
-            while n is not None:
-                holders[id(n)] = n
-                n.content += solid
-                n = n.parent
-    # The deepest element with most of the content; an article or main element of any size comes first.
-    depth = lambda n: n.path.count("/")
-    best = max((n for n in holders.values() if n.semantic), key=lambda n: (n.content, depth(n)), default=None) or max((n for n in holders.values() if n.content >= 0.5 * total and n.tag in BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"} or not n.tag), key=lambda n: (depth(n), n.content))
+    nodes, every = parse(page)
+    # What a class calls noise is none where it holds the page's title or article, or all that is left.
+    last, titled = list(range(len(nodes))), [n.tag in ("h1", "article", "main") for n in nodes]
+    for n in reversed(nodes[1:]):
+        last[n.parent.number] = max(last[n.parent.number], last[n.number])
+        titled[n.parent.number] |= titled[n.number]
+    never = [n.noise for n in nodes]
+    for lift_all in (False, True):
+        for n in nodes[1:]:
+            n.noise = never[n.number] or n.parent.noise or (n.own == 1 and not titled[n.number] and not lift_all)
+        texts = [x for x in every if not x[0].noise]
+        if any(solid(t) for _, _, t in texts):
+            break
+    fused = path_ratios(texts)
+    if not fused:
+        return ""
+    level = THRESHOLD * sum(fused.values()) / len(fused)
+    chosen = {p for p, x in fused.items() if x >= level}
+    content, links, sizes = [0] * len(nodes), Counter(), Counter()
+    for n, _, t in texts:
+        size = solid(t)
+        sizes[n.path] += size
+        links[n.path] += size if n.link else 0
+        if n.path in chosen:
+            content[n.number] += size
+    for n in reversed(nodes[1:]):
+        content[n.parent.number] += content[n.number]
+    total = content[0]
+    best = nodes[0]
+    for n in nodes[1:]:
+        # Elements are numbered in page order, so the innermost one that covers enough comes last.
+        if n.tag in HOLDERS and n.number <= last[best.number] and content[n.number] >= (ARTICLE if n.tag in ("article", "main") else COVER) * total:
+            best = n
     blocks: dict[int, list[str]] = {}
-    inside: dict[int, bool] = {}
-    for n, b, t in nodes:
-        if id(n) not in inside:
-            up = n
-            while up is not None and up is not best:
-                up = up.parent
-            inside[id(n)] = up is best
-        if inside[id(n)]:
+    for n, b, t in texts:
+        if best.number <= n.number <= last[best.number] and (n.path in chosen or 2 * links[n.path] <= sizes[n.path]):
             blocks.setdefault(b, []).append(t)
     return "\n".join(x for b in blocks.values() if (x := SPACE.sub(" ", "".join(b)).strip()))
 

@@ -1,6 +1,9 @@
+import math
+import time
+
 import pytest
 
-from rillflow.llm.html import extract_text, main_text
+from rillflow.llm.html import extract_text, main_text, noisy_name, parse, path_ratios, solid
 
 LONG = "This is a paragraph of some length, with commas, and it ends. "
 
@@ -38,3 +41,67 @@ def test_rows(spark):
     out = extract_text(df)
     assert out.columns == ["page_id", "url", "text"] and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, "u", "x."), (None, None, ""), (1, "u", "")]))
     assert extract_text(df.limit(0)).count() == 0
+
+
+BODY = f"<h1>Head</h1><p>{LONG}</p><p>{LONG * 2}</p><p>Short.</p>"
+WHOLE = "\n".join(["Head", LONG.strip(), (LONG * 2).strip(), "Short."])
+
+
+@pytest.mark.parametrize("name", ["site-content no-sidebar", "with-sidebar content", "social-sciences", "search-results", "post-header-content", "sidebar", "comment"])
+def test_classes_of_the_article_itself(name):
+    assert main_text(page(f"<div class='{name}'>{BODY}</div><div class=footer>c</div>")) == WHOLE
+
+
+def test_noisy_names():
+    assert all(map(noisy_name, ["ad", "site-footer", "cookie-banner", "comment-list", "nav_menu", "skip-link", "related-posts"]))
+    assert not any(map(noisy_name, ["content", "no-sidebar", "with-sidebar", "social-sciences", "search-results", "post-header-content", "adult", "headers"]))
+
+
+def test_header_of_an_article():
+    assert main_text(page(f"<header>Site</header><article><header><h1>Head</h1></header><p>{LONG}</p><footer>by</footer></article>")) == "Head\n" + LONG.strip()
+
+
+def test_teaser_in_an_article():
+    assert main_text(page(f"<article><p>Teaser.</p></article><div class=content>{BODY}</div>")).endswith(WHOLE)
+
+
+@pytest.mark.parametrize("inner", ["div", "blockquote", "ul", "table"])
+def test_part_of_the_content_in_one_element(inner):
+    cell = {"ul": "li", "table": "td"}.get(inner, "p")
+    got = main_text(page(f"<div id=x><h1>Head</h1><p>{LONG}</p><{inner}><{cell}>{LONG * 3}</{cell}></{inner}><p>{LONG}</p></div>"))
+    assert got == "\n".join(["Head", LONG.strip(), (LONG * 3).strip(), LONG.strip()])
+
+
+def test_lists_of_links_go():
+    links = "".join(f"<li><a href=/{i}>Go to {i}</a></li>" for i in range(9))
+    assert main_text(page(f"<div class=page><ul>{links}</ul>{BODY}<p>See <a href=/x>this</a>.</p></div>")) == WHOLE + "\nSee this."
+
+
+def test_nested_noise_stays_out_of_a_lifted_class():
+    assert main_text(page(f"<div class=sidebar><div class=ad>Buy, now.</div>{BODY}<nav>n</nav></div>")) == WHOLE
+
+
+def test_ratios_equal_brute_force():
+    html = page(f"<nav><p>x.</p></nav><div><h1>Head</h1><p>{LONG}</p><p>One, <a>link</a> two.</p><ul><li>a<li>b, c</ul></div><p>End.</p>")
+    texts = [x for x in parse(html)[1] if not x[0].noise and x[2].strip()]
+
+    def path(n):
+        return (path(n.parent) if n.parent else "") + "/" + n.tag
+
+    order = list(dict.fromkeys(path(n) for n, _, _ in texts))
+    mean = lambda p, f: sum(f(n, t) for n, _, t in texts if path(n) == p) / sum(path(n) == p for n, _, _ in texts)
+    size = {p: mean(p, lambda n, t: 0 if "/a" in path(n) + "/" and path(n).split("/").count("a") else sum(not c.isspace() for c in t)) for p in order}
+    marks = {p: mean(p, lambda n, t: sum(c in ".,;:!?" for c in t)) for p in order}
+    got = path_ratios(texts)
+    for i, p in enumerate(order):
+        w = {q: math.exp(-((i - j) ** 2) / 2) for j, q in enumerate(order) if abs(i - j) <= 2}
+        want = sum(w[q] * size[q] for q in w) / sum(w.values()) * (1 + sum(w[q] * marks[q] for q in w) / sum(w.values()))
+        assert abs(got[next(n.path for n, _, _ in texts if path(n) == p)] - want) < 1e-9
+    assert solid(" a\nb ") == 2
+
+
+@pytest.mark.parametrize("piece", ["<font>x", "<a ", "<p><td>x", "</b>", "<div>", "<li>x", "<ul><li>x", "<!-- x", "<a '", '<a "', "<font></i>", "<table><tr><td>x", "<title>", "&", "<", "<p><font>x</div>"])
+def test_hostile_pages_are_linear(piece):
+    start = time.perf_counter()
+    main_text(piece * 100_000)
+    assert time.perf_counter() - start < 8
