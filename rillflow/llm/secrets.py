@@ -80,11 +80,39 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+#: Matches in a group of the running sum.
+GROUP = 256
+
+
 def _offsets(lengths: str, gaps: str) -> Column:
-    """(start, end) of each match, from the lengths of matches and of the pieces around them."""
-    add = lambda a, x: a + x
-    start = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), add) + F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), add)
-    return F.transform(lengths, lambda n, i: F.struct(start(i).alias("s"), (start(i) + n).alias("e")))
+    """(start, end) of each match, from the lengths of matches and of the pieces around them.
+
+    A running sum in two levels, over groups and inside each, so that many matches cost little more than linear time.
+    """
+    groups = F.floor((F.size(lengths) + (GROUP - 1)) / GROUP).cast("int")
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+    add = lambda a, x: a + x["g"] + x["n"]
+
+    def inside(total: Column, own: Column) -> Column:
+        none = F.struct(total.alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+        def step(a, x):
+            start = a["at"] + x["g"]
+            return F.struct((start + x["n"]).alias("at"), F.array_append(a["out"], F.struct(start.alias("s"), (start + x["n"]).alias("e"))).alias("out"))
+
+        return F.aggregate(own, none, step, lambda a: a["out"])
+
+    def split(all_: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), groups), lambda k: F.slice(all_, (k - 1) * GROUP + 1, F.lit(GROUP)))
+        return _let(own, lambda parts: _let(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), add)), lambda sums: _let(_running(sums), lambda before: F.flatten(F.zip_with(before, parts, inside)))))
+
+    return F.when(F.size(lengths) > 0, _let(steps, split)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
+def _running(sums: Column) -> Column:
+    """The sum of all elements before each one."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sums, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
 
 
 def _matches(df: DataFrame, pattern: str, name: str, value_group: int | None = None) -> DataFrame:
