@@ -17,10 +17,10 @@ from .common import materialize, read
 
 #: (verdict, host, start of the path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words of hosts and paths that label a page as bad.
+#: Words of hosts and paths that label a page as bad, where no letter is next to them.
 BAD_WORDS = ("casino", "bets", "betting", "poker", "pills", "viagra", "porn", "xxx", "adserver", "doubleclick", "ads-track", "malware", "phishing")
-#: Levels of a template; a node with so many children, which are so large a share of its pages, has a wildcard.
-DEPTH, CHILDREN, SPREAD = 4, 8, 0.5
+#: Most levels of a template, those below being one; a node with so many children, which are so large a share of its pages, has a wildcard.
+DEPTH, CHILDREN, SPREAD = 12, 8, 0.5
 #: Parts of the rows of a host or template in a join with what is known of it.
 SALTS = 16
 #: Weight of a page without a label, as evidence that its template is not bad.
@@ -62,10 +62,10 @@ def _salted(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFram
     return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
-def _templates(paths: DataFrame) -> DataFrame:
+def _templates(paths: DataFrame, levels: int) -> DataFrame:
     """paths (host, _s and counts, with pages) and their template _t: /-led segments, those of wide nodes as *."""
     t = paths.withColumn("_t", F.lit(""))
-    for d in range(DEPTH):
+    for d in range(levels):
         seg = F.get("_s", F.lit(d))
         nodes = t.where(F.size("_s") > d).withColumn("_seg", seg).where("_seg not in ('*', '**')").groupBy("host", "_t", "_seg").agg(F.sum("pages").alias("n"))
         wide = nodes.groupBy("host", "_t").agg(F.count("*").alias("children"), F.sum("n").alias("n")).where((F.col("children") >= CHILDREN) & (F.col("children") >= F.col("n") * SPREAD))
@@ -75,7 +75,7 @@ def _templates(paths: DataFrame) -> DataFrame:
     return t.withColumn("_t", F.when(F.size("_s") > DEPTH, F.concat("_t", F.lit("/**"))).otherwise(F.col("_t")))
 
 
-def _shares(t: DataFrame) -> DataFrame:
+def _shares(t: DataFrame, levels: int) -> DataFrame:
     """Of every template of t (host, _t, n, b): share, its smoothed share of bad pages."""
     depth = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("/"), F.lit("")))
     tree = t.groupBy("host", "_t").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("_d", depth).withColumn("_up", F.regexp_replace("_t", r"/[^/]*$", ""))
@@ -85,7 +85,7 @@ def _shares(t: DataFrame) -> DataFrame:
     # The share of each node above, from the table down; a node with all pages of the one above it says nothing new.
     out = _salted(tree.crossJoin(F.broadcast(whole)), tree.groupBy("host").agg(F.sum("n").alias("_hn"), F.sum("b").alias("_hb")), ["host"], "_t")
     out = out.withColumn("_p", smoothed("_hb", "_hn", F.col("_wb") / F.col("_wn"))).withColumn("_last", F.col("_hn")).drop("_wn", "_wb", "_hn", "_hb")
-    for d in range(1, DEPTH + 1):
+    for d in range(1, levels + 1):
         node = F.substring_index("_t", "/", d + 1)
         level = tree.where(F.col("_d") >= d).groupBy("host", node.alias("_node")).agg(F.sum("n").alias("_nn"), F.sum("b").alias("_nb"))
         out = _salted(out.withColumn("_node", F.when(F.col("_d") > d, node)), level, ["host", "_node"], "_t")
@@ -107,7 +107,7 @@ def template_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = No
     """All columns of pages (it needs url) and host, path, rule, verdict; columns of these names are replaced.
 
     labels: url and bad (0 or 1), one row each, beside the labels that rules and BAD_WORDS give. A page without a host is
-    allowed. Pages are counted by their path's segments before anything is joined, and the joins are salted, so that a hot
+    allowed; repeated rows have equal verdicts, and an empty table gives no rows. Pages are counted by their path's segments before anything is joined, and the joins are salted, so that a hot
     host or template is dealt among tasks.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -115,15 +115,17 @@ def template_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = No
     df = pages.select(*keep).withColumn("host", host).withColumn("path", path).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     df = df.withColumn("_s", F.when(F.col("host") != "", _segments(F.col("path"))).otherwise(F.array().cast("array<string>")))
 
-    bad_word = F.concat_ws("", "host", F.lower("path")).rlike("|".join(BAD_WORDS))
+    bad_word = F.concat_ws("", "host", F.lower("path")).rlike(f"(?<![a-z])({'|'.join(BAD_WORDS)})(?![a-z])")
     bad = F.when(F.col("_r.verdict") == "block", 1).when(F.col("_r.verdict") == "allow", 0).when(bad_word, 1)
     known = df.where("host != ''").select("host", "_s", "url", bad.alias("bad"))
     if labels is not None:
         known = known.join(labels.select("url", F.col("bad").cast("int").alias("given")).dropDuplicates(["url"]), "url", "left").withColumn("bad", F.coalesce("given", "bad"))
     weight = F.when(F.col("bad").isNull(), UNLABELLED).otherwise(1.0)
     paths = known.groupBy("host", "_s").agg(F.count("*").alias("pages"), F.sum(weight).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("b"))
-    t = _templates(materialize(paths, "paths"))
-    rejected = _shares(t).where(F.col("share") >= REJECT).select("host", "_t", F.lit(True).alias("_no"))
+    paths = materialize(paths, "paths")
+    levels = min(DEPTH, paths.agg(F.max(F.size("_s"))).first()[0] or 0)
+    t = _templates(paths, levels)
+    rejected = _shares(t, levels).where(F.col("share") >= REJECT).select("host", "_t", F.lit(True).alias("_no"))
     no = _salted(t.select("host", "_s", "_t"), rejected, ["host", "_t"], "_s").where("_no").select("host", "_s", "_no")
     df = _salted(df, no, ["host", "_s"], "url")
     verdict = F.coalesce("_r.verdict", F.when(F.col("_no"), "block").otherwise("allow"))
