@@ -20,8 +20,9 @@ from .common import materialize, read, word_count
 
 #: Weights of the sources in order of their names, repeating; most times that a source, or a document, is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents in a block on average, words of a shard, most shards, blocks that may be broadcast.
-BLOCK_DOCS, SHARD_WORDS, MOST_SHARDS, BROADCAST_BLOCKS = 1024, 20_000_000, 4096, 1_000_000
+#: Documents in a block on average, words of a shard, most shards (larger ones beyond), blocks and sources that may be
+#: broadcast.
+BLOCK_DOCS, SHARD_WORDS, MOST_SHARDS, BROADCAST_BLOCKS, BROADCAST_SOURCES = 1024, 20_000_000, 32_768, 1_000_000, 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -90,7 +91,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         full = min(most, int(t // r["size"])) if r["size"] else 0
         sources.append((r["source"], int(r["size"]), t, full, max(0.0, t - full * int(r["size"])), max(1, math.ceil(r["n"] / BLOCK_DOCS))))
     table = spark.createDataFrame(sources, "source string, source_size long, target double, full int, rest double, blocks int") if sources else spark.createDataFrame([], "source string, source_size long, target double, full int, rest double, blocks int")
-    dealt = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "blocks").cast("int"))
+    small = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda df: df
+    dealt = rows.join(small(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "blocks").cast("int"))
 
     same = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed)), "block")
     blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("source_size", "target", "full", "rest", "blocks")))
@@ -99,10 +101,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     blocks = materialize(blocks, "blocks")
     # Only one block of a source is divided: its documents are tried in permuted order, and taken where they fit.
     cut = blocks.where("cut").select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("rest") - F.col("before")).alias("quota"))
-    inner = dealt.select("source", "block", "h", "size").join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    inner = dealt.select("source", "block", "h", "size").join(small(cut), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     inner = inner.groupBy("source", "block", "h").agg(F.sum("size").alias("size"), F.first("quota").alias("quota"))
     picked = inner.groupBy("source", "block").applyInPandas(_fill, "_s string, _b int, picked array<long>")
-    b = blocks.join(F.broadcast(picked), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+    b = blocks.join(small(picked), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     decisions = b.select("source", "block", "source_size", "target", "full", "part", "blocks", F.when(F.col("cut"), F.col("picked")).alias("picked"))
     decisions = materialize(decisions, "decisions")
 
@@ -114,43 +116,53 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     units = decisions.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("full") + F.col("part").cast("int")))).where(F.col("copy") < F.col("full") + F.col("part").cast("int"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block", "copy", F.lit(seed + 1)), "block", "copy")) - 1
     units = units.select("source", "block", "copy", rank.alias("rank"))
-    units = units.join(F.broadcast(bounds), units["source"].eqNullSafe(bounds["source"])).drop(bounds["source"])
+    units = units.join(small(bounds), units["source"].eqNullSafe(bounds["source"])).drop(bounds["source"])
     units = units.select("source", "block", "copy", F.size(F.filter("bounds", lambda x: x <= F.col("rank"))).alias("shard"))
     return dealt.select("doc_id", "source", "size", "h", "block"), decisions, materialize(units, "units")
 
 
-def _decided(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """rows (source, block, h, ...) with source_size, target and times."""
-    few = decisions.count() <= BROADCAST_BLOCKS
+def _decided(rows: DataFrame, decisions: DataFrame, units: DataFrame) -> DataFrame:
+    """rows (source, block, h, ...) with source_size, target, times and shards: the units of the tree that hold a document.
+
+    A document is in all units of its block, but for the extra one where that takes other documents of a divided block.
+    """
+    each = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("_u"))
     d = decisions.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")
+    d = d.join(each, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("source", "block")
+    d = materialize(d, "taken")
+    few = d.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     out = rows.join(F.broadcast(d) if few else d, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    extra = F.col("part") & (F.col("picked").isNull() | F.array_contains("picked", F.col("h")))
-    return out.withColumn("times", F.col("full") + extra.cast("int")).drop("_s", "_b", "part", "picked", "blocks")
+    out_of_extra = F.col("part") & F.col("picked").isNotNull() & ~F.array_contains("picked", F.col("h"))
+    mine = F.filter(F.coalesce("_u", F.array().cast("array<struct<copy:int,shard:int>>")), lambda u: (u["copy"] < F.col("full")) | ~F.coalesce(out_of_extra, F.lit(False)))
+    out = out.withColumn("shards", F.transform(mine, lambda u: u["shard"]))
+    return out.withColumn("times", F.size("shards")).drop("_s", "_b", "_u", "part", "picked", "blocks")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 8) -> DataFrame:
     """docs (all its columns) as often as the mix takes them, dealt to shards and shuffled inside each."""
     dealt, decisions, units = plan_mix(docs, seed=seed)
-    per = decisions.groupBy("source").agg(F.first("blocks").alias("_n"))
+    per = materialize(decisions.groupBy("source").agg(F.first("blocks").alias("_n")), "sources")
+    few = per.count() <= BROADCAST_SOURCES
     # A document's own columns travel in one, so that none clashes.
     h = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), h.alias("h"))
-    rows = rows.join(F.broadcast(per.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "_n").cast("int")).drop("_s", "_n")
-    rows = _decided(rows, decisions).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    u = units.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("copy").alias("_c"), "shard")
-    few = units.count() <= BROADCAST_BLOCKS
-    rows = rows.join(F.broadcast(u) if few else u, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("copy") == F.col("_c")))
+    per = per.withColumnRenamed("source", "_s")
+    rows = rows.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "_n").cast("int")).drop("_s", "_n")
+    rows = _decided(rows, decisions, units).select("_row", "h", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.select("_row", "shard", F.xxhash64("h", "copy", F.lit(seed + 2)).alias("order"))
     # A shard is dealt in slices, so that no task holds a whole one; a slice is a random part of its shard.
     return rows.repartition("shard", F.pmod("order", F.lit(16))).sortWithinPartitions("shard", "order").select("_row.*")
 
 
 def mixed_sizes(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target (its source's), taken, times."""
-    dealt, decisions, _ = plan_mix(docs, seed=seed)
-    return _decided(dealt, decisions).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    """One row for each row of docs: doc_id, source, size, source_size, target (its source's), taken, times, shards.
+
+    shards are the output shards that the tree deals the document's units to. An empty table gives no rows.
+    """
+    dealt, decisions, units = plan_mix(docs, seed=seed)
+    return _decided(dealt, decisions, units).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "shards")
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     """What the mix of all documents takes of each."""
-    return mixed_sizes(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed_sizes(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
