@@ -23,8 +23,8 @@ from .common import materialize, read
 K = 20
 #: Rows the tree is fitted on at most, children of a node, sampled rows in a leaf on average, calibration queries, recall.
 SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL = 65_536, 8, 48, 128, 0.96
-#: Rows in a block, and queries that meet it at a time.
-BLOCK, CHUNK = 4096, 16_384
+#: Rows in a block, queries that meet it at a time, and queries that a task walks down the tree.
+BLOCK, CHUNK, WALKS = 4096, 16_384, 2048
 
 
 class Tree:
@@ -132,12 +132,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float =
 
     Returns query_id, rank (from 1), vec_id, score in double precision, nearest first, ties to the smaller vec_id. A
     query's own vec_id is no candidate. Rows without an id, or whose vector is null, zero, of another length or not
-    finite, take no part; queries that repeat an id are asked once. Recall is calibrated, not exact. Empty tables give no
+    finite, take no part; of queries that repeat an id the one with the smallest vector is asked;
+    candidates that repeat one are candidates each. Recall is calibrated, not exact. Empty tables give no
     rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    asked = usable(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("embedding").alias("q"))
+    asked = usable(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("q"))
     total = rows.count()
     share = min(1.0, SAMPLE / max(total, 1)) * 2**20
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(2**20)) < math.ceil(share)).limit(SAMPLE).toPandas().sort_values("vec_id")
@@ -171,11 +172,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float =
         if n > BLOCK:
             parts[block] = math.ceil(n / BLOCK)
             block, held = block + 1, 0
-    blocks = spark.createDataFrame([(leaf, b, parts.get(b, 1)) for leaf, b in block_of.items()], "leaf int, block int, parts int")
-    chunks = max(1, math.ceil(asked.count() / CHUNK))
-    members = index.join(F.broadcast(blocks), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -186,7 +182,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float =
                 out += [(i, q, bl, p, leaves) for bl, leaves in by.items() for p in range(parts.get(bl, 1))]
             yield pd.DataFrame(out, columns=["query_id", "q", "block", "part", "leaves"])
 
-    walks = asked.mapInPandas(walk, "query_id long, q array<double>, block int, part int, leaves array<int>").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    dealt = asked.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(asked.count() / WALKS)), "query_id")
+    walks = materialize(dealt.mapInPandas(walk, "query_id long, q array<double>, block int, part int, leaves array<int>"), "walks")
+    # A block is copied as often as the number of queries that visit it asks for; blocks are the tree's, not the data's.
+    visits = {(r["block"], r["part"]): r["count"] for r in walks.groupBy("block", "part").count().collect()}
+    many = {b: math.ceil(max(visits.get((b, p), 0) for p in range(parts.get(b, 1))) / CHUNK) for b in set(block_of.values())}
+    blocks = F.broadcast(spark.createDataFrame([(leaf, b, parts.get(b, 1), many[b]) for leaf, b in block_of.items()], "leaf int, block int, parts int, chunks int"))
+    members = index.join(blocks, "leaf").where("chunks > 0").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    walks = walks.join(F.broadcast(spark.createDataFrame(list(many.items()), "block int, chunks int")), "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
 
     def score(_: tuple, m: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
