@@ -22,7 +22,7 @@ from .common import components, materialize, read
 
 N, NUM, DEN = 4, 85, 100
 #: Bits of a signature, largest side of a tile, characters of text for each hash range.
-BITS, TILE, RANGE_CHARS = 2048, 2048, 10_000_000
+BITS, TILE, RANGE_CHARS = 2048, 512, 10_000_000
 #: Documents whose shared shingles meet in a task on average; partners of a row that the first sweep over tiles verifies.
 BUCKET_DOCS, FIRST = 16_384, 2
 #: Characters of text that a task works on at a time.
@@ -31,6 +31,8 @@ SLICE = 4_000_000
 HOT_MIN, HOT_SHARE, HOT_MOST = 32, 0.02, 1_000_000
 #: Identifiers up to this number may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: A component with more than this share of all documents is hot; there are fewer than 1 / HOT_COMPONENT of them.
+HOT_COMPONENT = 1 / 500
 LAST = 2**31 - 1
 
 
@@ -383,9 +385,13 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
 
     per_doc = sig.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
     per_doc = materialize(per_doc, "documents")
-    least = per_doc.where("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = per_doc.where("n_shingles > 0 and doc_id is not null").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return named.union(per_doc.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = per_doc.where("n_shingles > 0 and doc_id is not null")
+    least = materialize(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("docs")), "least")
+    # Hot components are few by their definition, so they are broadcast; documents of the others meet theirs by a shuffle.
+    hot_roots = F.broadcast(least.where(F.col("docs") > sig.count() * HOT_COMPONENT).select("root", "component_id"))
+    named = linked.join(hot_roots, "root").unionByName(linked.join(hot_roots.select("root"), "root", "left_anti").join(least.select("root", "component_id"), "root"))
+    apart = per_doc.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.select("doc_id", "n_shingles", "component_id").union(apart)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
