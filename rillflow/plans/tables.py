@@ -232,10 +232,10 @@ def geodesic_distance(spark, d):
     return _stations(spark, d).select("id", at(0.5, 0.5).alias("ds"), at(0.5, 0.0).alias("dx"), at(0.0, 0.5).alias("dy"))
 
 
-@query(f"WITH {_ST}, p AS (SELECT region, id, lon AS x, lat AS y FROM st WHERE id % 3 = 0) SELECT region, count(*) AS points, CAST(arg_min(x, id) AS BIGINT) AS first_x, CAST(arg_max(y, id) AS BIGINT) AS last_y FROM p GROUP BY region HAVING count(*) > 1")
+@query(f"WITH {_ST}, p AS (SELECT region, id, lon AS x, lat AS y FROM st) SELECT region, count(*) AS points, CAST(arg_min(x, id) AS BIGINT) AS first_x, CAST(arg_max(y, id) AS BIGINT) AS last_y FROM p GROUP BY region HAVING count(*) > 1")
 def station_lines(spark, d):
     """Stations of a region, in order, as one line."""
-    p = _stations(spark, d).where("id % 3 = 0").select("region", "id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    p = _stations(spark, d).select("region", "id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     x = vector.lines(p, "region", "id")
     return x.select("region", F.size("points").cast("long").alias("points"), F.col("points")[0]["x"].alias("first_x"), F.element_at("points", -1)["y"].alias("last_y"))
 
