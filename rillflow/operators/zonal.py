@@ -20,6 +20,13 @@ def extents(labels: DataFrame, nrows: int, ncols: int) -> DataFrame:
     )
 
 
+def crops(labels: DataFrame) -> DataFrame:
+    """Masks of labels (label, r, c) over their bounding boxes: label, r, c, inside (1 or 0)."""
+    box = labels.groupBy("label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    cells = box.select("label", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("label", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return cells.join(labels.select("label", "r", "c", F.lit(1).alias("inside")), ["label", "r", "c"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+
+
 def lowest_cells(labels: DataFrame) -> DataFrame:
     """The lowest cell of each label, the first in scan order of equal ones."""
     best = labels.groupBy("label").agg(F.min(F.struct("h", "r", "c")).alias("m"))

@@ -416,3 +416,25 @@ def geodesic_area(spark, d):
     """Area of bands of rows, each cell a tenth of a degree, on a sphere."""
     cell = F.floor(vector.zone_area(F.col("r") * 0.1 - 60, 0.1) / 1000000).cast("long")
     return dem(spark, d).groupBy(F.floor(F.col("r") / 100).alias("band")).agg(F.sum(cell).alias("km2"))
+
+
+@query(f"WITH {DOWN}, b AS MATERIALIZED (SELECT down.id AS id, pos AS label FROM down JOIN flow f ON f.id = down.pos WHERE f.next_id IS NULL) SELECT id, label FROM b WHERE label IN (SELECT b.label FROM b JOIN dem ON b.id = r * {WIDE} + c WHERE h < -0.25)")
+def touched_basins(spark, d):
+    """Basins that a water body touches, as cells."""
+    labels = materialize(fl.terminal_labels(flow(spark, d)), "labels")
+    wet = dem(spark, d).where("h < -0.25").select(grid.cell_id(ncols(spark, d)).alias("id"))
+    return labels.join(labels.join(wet, "id", "left_semi").select("label").distinct(), "label", "left_semi").select("id", "label")
+
+
+@query(f"WITH {WATER}, x AS MATERIALIZED (SELECT label, id // {WIDE} AS r, id % {WIDE} AS c FROM comp), e AS (SELECT label, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM x GROUP BY label), g AS (SELECT label, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM e)) SELECT g.label, g.r, g.c, CAST(x.label IS NOT NULL AS INT) AS inside FROM g LEFT JOIN x ON x.label = g.label AND x.r = g.r AND x.c = g.c")
+def label_crops(spark, d):
+    """Each depression as a mask, 1 inside and 0 outside, of its bounding box."""
+    n = ncols(spark, d)
+    own = components.label_mask(water(spark, d), n).select("label", F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("c"))
+    return zonal.crops(materialize(own, "lab"))
+
+
+@query(f"WITH {WATER} SELECT DISTINCT label, CAST(floor(h * 100) AS BIGINT) AS level FROM dem JOIN comp ON id = r * {WIDE} + c")
+def water_levels(spark, d):
+    """The different levels of each depression, in hundredths."""
+    return _labelled(spark, d).where("label is not null").select("label", F.floor(F.col("h") * 100).alias("level")).distinct()
