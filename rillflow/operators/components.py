@@ -35,6 +35,15 @@ def label_mask(mask: DataFrame, ncols: int, eight: bool = True) -> DataFrame:
     return components(mask.select(cell_id(ncols).alias("id")), adjacency(mask, ncols, eight))
 
 
+def label_equal(cells: DataFrame, value: str, ncols: int) -> DataFrame:
+    """Components of neighbouring cells (r, c, value) with the same value: r, c, value, label. Null values have none."""
+    own = materialize(cells.where(F.col(value).isNotNull()).select("r", "c", value, cell_id(ncols).alias("id")), "equal")
+    n = neighbours(own, value, "id")
+    same = F.array_compact(F.array(*(F.when(F.col(f"{value}_{k}") == F.col(value), F.col(f"id_{k}")) for k in range(8))))
+    labels = components(own.select("id"), n.select(F.col("id").alias("a"), F.explode(same).alias("b")).where("a < b"))
+    return own.join(labels, "id").select("r", "c", value, "label")
+
+
 def edge_runs(cells: DataFrame, condition, least: int) -> DataFrame:
     """Runs of at least so many cells along each raster edge that meet a condition: edge, first, last, n."""
     size = cells.agg(F.max("r").alias("nr"), F.max("c").alias("nc"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -61,6 +61,17 @@ def cycle_cells(flow: DataFrame) -> DataFrame:
     return state.select("id").join(on, "id", "left").select("id", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
+def cycle_regions(flow: DataFrame) -> DataFrame:
+    """id, label of all cells that never reach a terminal; label is the smallest id of the cycle that they end in."""
+    bad = materialize(cycle_cells(flow).select("id"), "cycle")
+    state = materialize(flow.join(bad, "id").select("id", F.col("next_id").alias("p"), F.col("next_id").alias("least")), "cycle")
+    for _ in range(_rounds(bad)):
+        # After enough rounds p lies on the cycle, and least is the smallest id passed; only that of cycle cells is used.
+        jump = state.select(F.col("id").alias("p"), F.col("p").alias("pp"), F.col("least").alias("other"))
+        state = materialize(state.join(jump, "p").select("id", F.col("pp").alias("p"), F.least("least", "other").alias("least")), "cycle")
+    return state.select("id", "p").join(state.select(F.col("id").alias("p"), F.col("least").alias("label")), "p").select("id", "label")
+
+
 def break_cycles(flow: DataFrame, h: DataFrame) -> DataFrame:
     """flow in which every cycle ends at its lowest cell (then smallest id); h: id, h. The result has no cycle.
 
@@ -87,16 +98,31 @@ def counterflow_pairs(flow: DataFrame) -> DataFrame:
 def upstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Transitive closure against the flow: edges (up_id, down_id), seeds (id) to (seed, id), the seed itself excluded.
 
-    Ancestor tables are squared: closure of paths of up to 2 ** k edges after k rounds.
+    Only pairs that were new in the last round are joined with the edges, so the work is that of the pairs returned; the
+    rounds are the longest path. For cells of a flow graph, each with one way down, see basins_at.
     """
-    reach = materialize(edges.select(F.col("up_id").alias("id"), F.col("down_id").alias("seed")).where("id != seed").distinct(), "closure")
-    total = reach.count()
+    edges = materialize(edges.select("up_id", "down_id").where("up_id != down_id").distinct(), "closure")
+    front = materialize(seeds.select(F.col("id").alias("seed"), "id").distinct(), "closure")
+    reach = None
     while True:
-        longer = reach.select(F.col("id").alias("mid"), "seed").join(reach.select("id", F.col("seed").alias("mid")), "mid").select("id", "seed")
-        reach = materialize(reach.union(longer).distinct(), "closure")
-        if (more := reach.count()) == total:
-            return reach.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi").select("seed", "id")
-        total = more
+        more = front.join(edges.select(F.col("down_id").alias("id"), F.col("up_id").alias("up")), "id").select("seed", F.col("up").alias("id")).where("seed != id").distinct()
+        front = materialize(more if reach is None else more.join(reach, ["seed", "id"], "left_anti"), "closure")
+        reach = front if reach is None else materialize(reach.unionByName(front), "closure")
+        if front.isEmpty():
+            return reach.select("seed", "id")
+
+
+def basins_at(flow: DataFrame, outlets: DataFrame) -> DataFrame:
+    """outlet, id: all cells above each outlet (id) and the outlet itself; basins of outlets below others hold theirs.
+
+    Cells are labelled with the first outlet on their way, in logarithmic rounds; which outlets lie below which is a
+    closure over the outlets alone.
+    """
+    outlets = materialize(outlets.select("id").distinct(), "basins")
+    first = materialize(terminal_labels(flow, outlets).join(outlets.select(F.col("id").alias("label")), "label", "left_semi"), "basins")
+    below = confluence(flow, first, outlets).select(F.col("up_basin").alias("up_id"), F.col("down_basin").alias("down_id"))
+    holds = upstream(below, outlets).unionByName(outlets.select(F.col("id").alias("seed"), "id"))
+    return holds.select(F.col("seed").alias("outlet"), F.col("id").alias("label")).join(first, "label").select("outlet", "id")
 
 
 def confluence(flow: DataFrame, labels: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -107,27 +133,28 @@ def confluence(flow: DataFrame, labels: DataFrame, outlets: DataFrame) -> DataFr
 def strahler(flow: DataFrame) -> DataFrame:
     """id, order: 1 at headwaters; below, the largest order above, one more where that occurs twice. 0 on cycles.
 
-    A level-by-level peel: a cell is settled once all cells above it are, so the number of rounds is the longest path;
-    streams are short next to the cells of a grid.
+    A cell has more than order k where, at it or above it, two cells of order k or more meet. So each order is one count of
+    the cells that flow into a cell and one accumulation along the flow, over what the order before has left: as many
+    passes as there are orders, each logarithmic in the longest path.
     """
-    degree = flow.where("next_id is not null").groupBy(F.col("next_id").alias("id")).agg(F.count("*").alias("above"))
-    open_ = materialize(flow.join(degree, "id", "left").select("id", "next_id", F.coalesce("above", F.lit(0)).alias("above"), F.lit(0).alias("top"), F.lit(0).alias("times")), "order")
-    done = []
+    ring = materialize(cycle_cells(flow).where("on_cycle").select("id"), "order")
+    whole = flow.join(ring, "id", "left_anti")
+    if not ring.isEmpty():
+        whole = whole.join(ring.select(F.col("id").alias("next_id"), F.lit(True).alias("cut")), "next_id", "left").select("id", F.when(F.col("cut").isNull(), F.col("next_id")).alias("next_id"))
+    left = materialize(whole.select("id", "next_id"), "order")
+    passed = [left.select("id", F.lit(1).alias("order"))]
     while True:
-        ready = open_.where("above = 0").withColumn("order", F.when(F.col("top") == 0, 1).when(F.col("times") > 1, F.col("top") + 1).otherwise(F.col("top")))
-        ready = materialize(ready.select("id", "next_id", "order"), "order")
-        if ready.isEmpty():
+        meet = left.where("next_id is not null").groupBy(F.col("next_id").alias("id")).agg((F.count("*") > 1).cast("long").alias("w")).where("w > 0")
+        seeds = materialize(left.join(meet, "id", "left").select("id", "next_id", F.coalesce("w", F.lit(0).cast("long")).alias("w")), "order")
+        if seeds.where("w > 0").isEmpty():
             break
-        done.append(ready.select("id", "order"))
-        best = ready.where("next_id is not null").groupBy(F.col("next_id").alias("id"), "order").agg(F.count("*").alias("k")).groupBy("id").agg(F.max("order").alias("o"), F.max_by("k", "order").alias("k"), F.sum("k").alias("n"))
-        rest = open_.where("above > 0").join(best, "id", "left")
-        top = F.greatest("top", F.coalesce("o", F.lit(0)))
-        times = F.when(F.col("top") == top, F.col("times")).otherwise(0) + F.when(F.col("o") == top, F.col("k")).otherwise(0)
-        open_ = materialize(rest.select("id", "next_id", (F.col("above") - F.coalesce("n", F.lit(0))).alias("above"), top.alias("top"), times.cast("int").alias("times")), "order")
-    out = open_.select("id", F.lit(0).alias("order"))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        above = accumulate(seeds, "w")
+        left = materialize(seeds.join(above, "id").where("acc + w > 0").select("id", "next_id"), "order")
+        passed.append(left.select("id", F.lit(len(passed) + 1).alias("order")))
+    out = ring.select("id", F.lit(0).alias("order"))
+    for p in passed:
+        out = out.unionByName(p)
+    return out.groupBy("id").agg(F.max("order").alias("order"))
 
 
 def stream_links(flow: DataFrame, orders: DataFrame) -> DataFrame:
@@ -155,22 +182,57 @@ def snap_outlets(flow: DataFrame, acc: DataFrame, stations: DataFrame, error: fl
     """Stations (station, id, cells) moved downstream until the cells above fit: station, id, step; id -1 where none does.
 
     A walk stops when the accumulation is within the error of the wanted cells, and fails once it exceeds them, the flow
-    ends or steps are used up. One frontier moves all stations a step at a time; settled ones leave it.
+    ends or steps are used up. Accumulation grows along the flow, so a walk passes over all cells that are still too small:
+    jumps of 2 ** k cells, longest first, take it to the last of them, and one step more to where it stops.
     """
-    walk = flow.join(acc, "id").select("id", "next_id", "acc")
-    front = materialize(stations.select("station", "id", "cells", F.lit(0).alias("step")), "snap")
-    found = []
-    while not front.isEmpty():
-        here = front.join(walk, "id")
-        off = F.abs(F.col("acc") - F.col("cells")) / F.col("cells")
-        state = F.when(off <= error, "found").when((F.col("acc") > F.col("cells")) | F.col("next_id").isNull() | (F.col("step") >= steps), "failed").otherwise("go")
-        here = materialize(here.withColumn("state", state), "snap")
-        found.append(here.where("state != 'go'").select("station", F.when(F.col("state") == "found", F.col("id")).otherwise(F.lit(-1).cast("long")).alias("id"), "step"))
-        front = here.where("state = 'go'").select("station", F.col("next_id").alias("id"), "cells", (F.col("step") + 1).alias("step"))
-    out = found[0] if found else stations.select("station", "id", F.lit(0).alias("step")).limit(0)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    here = materialize(flow.join(acc, "id").select("id", "next_id", "acc"), "snap")
+    jumps = [materialize(here.where("next_id is not null").select("id", F.col("next_id").alias("to")), "snap")]
+    while 2 ** len(jumps) <= steps:
+        last = jumps[-1]
+        jumps.append(materialize(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "snap"))
+    off = F.abs(F.col("acc") - F.col("cells")) / F.col("cells")
+    small = (off > error) & (F.col("acc") <= F.col("cells"))
+    walk = stations.join(here.select("id", "acc"), "id").select("station", "id", "cells", F.lit(0).alias("step"), "acc")
+    for k in reversed(range(len(jumps))):
+        there = jumps[k].join(here.select(F.col("id").alias("to"), F.col("acc").alias("acc_to")), "to")
+        go = small & (F.col("step") + 2**k <= steps) & (F.abs(F.col("acc_to") - F.col("cells")) / F.col("cells") > error) & (F.col("acc_to") <= F.col("cells"))
+        go = F.coalesce(go, F.lit(False))
+        moved = walk.join(there, "id", "left")
+        walk = materialize(moved.select("station", F.when(go, F.col("to")).otherwise(F.col("id")).alias("id"), "cells", (F.col("step") + F.when(go, 2**k).otherwise(0)).alias("step"), F.when(go, F.col("acc_to")).otherwise(F.col("acc")).alias("acc")), "snap")
+    there = jumps[0].join(here.select(F.col("id").alias("to"), F.col("acc").alias("acc_to")), "to")
+    go = small & F.col("to").isNotNull() & (F.col("step") < steps)
+    end = walk.join(there, "id", "left").select("station", F.when(go, F.col("to")).otherwise(F.col("id")).alias("id"), "cells", (F.col("step") + F.when(go, 1).otherwise(0)).alias("step"), F.when(go, F.col("acc_to")).otherwise(F.col("acc")).alias("acc"))
+    return end.select("station", F.when(off <= error, F.col("id")).otherwise(F.lit(-1).cast("long")).alias("id"), "step")
+
+
+def snap_to_streams(flow: DataFrame, acc: DataFrame, streams: DataFrame, stations: DataFrame, error: float = 0.2, tries: int = 11) -> DataFrame:
+    """The other rule: to the first stream cell below, then up along streams: station, id, fits.
+
+    Stream cells above a tried cell go on a stack in direction order and the last one is tried next, until the cells above
+    one (itself included) are within the error, the stack is empty or the tries are used up; id is the last cell tried. A
+    station without a stream below tries the terminal that it reaches; one that reaches a cycle is left out.
+    """
+    at = materialize(terminal_labels(flow, streams).where("label is not null"), "snap")
+    size = acc.select("id", (F.col("acc") + 1).alias("size"))
+    ups = flow.where("next_id is not null").join(streams.select("id"), "id", "left_semi").groupBy(F.col("next_id").alias("id")).agg(F.collect_list("id").alias("ups"))
+    around = materialize(size.join(ups, "id", "left"), "snap")
+    walk = stations.join(at, "id").select("station", "cells", F.col("label").alias("id"), F.lit(None).cast("array<long>").alias("stack"), F.lit(False).alias("done"), F.lit(False).alias("fits"))
+    walk = materialize(walk.withColumn("stack", F.array(F.col("id"))), "snap")
+    for _ in range(tries):
+        if walk.where("not done").isEmpty():
+            break
+        now = walk.withColumn("id", F.when(F.col("done"), F.col("id")).otherwise(F.element_at("stack", -1))).join(around, "id", "left")
+        fits = F.col("fits") | (~F.col("done") & (F.abs(F.col("size") - F.col("cells")) / F.col("cells") <= error))
+        rest = F.slice("stack", 1, F.size("stack") - 1)
+        stack = F.when(F.col("done"), F.col("stack")).otherwise(F.concat(rest, F.transform(F.array_sort(F.transform(F.coalesce("ups", F.array().cast("array<long>")), lambda u: F.struct(_turn(u - F.col("id")).alias("k"), u.alias("u")))), lambda x: x["u"])))
+        walk = materialize(now.select("station", "cells", "id", stack.alias("stack"), fits.alias("fits"), F.col("done").alias("was")).select("station", "cells", "id", "stack", (F.col("was") | F.col("fits") | (F.size("stack") == 0)).alias("done"), "fits"), "snap")
+    return walk.select("station", "id", "fits")
+
+
+def _turn(step: Column) -> Column:
+    """A sort key of neighbours by the difference of ids: east, south-east, south .. north-east, at any raster width."""
+    turn = F.when(step == 1, 0).when(step > 1, 1).when(step == -1, 2).otherwise(3)
+    return F.struct(turn.alias("turn"), F.when(step > 1, -step).when(step < -1, step).otherwise(0).alias("at"))
 
 
 def _tile_accumulation(key: tuple, t: pd.DataFrame) -> pd.DataFrame:

@@ -317,7 +317,7 @@ def river_mouths(spark, d):
     return fl.river_mouths(flow(spark, d), valid, valid)
 
 
-@query()
+@query(f'WITH {DOWN}, so AS (WITH RECURSIVE w AS (SELECT 1 AS k, id FROM flow UNION SELECT m.k + 1, down.pos FROM (SELECT w.k, f.next_id AS x FROM w JOIN flow f ON f.id = w.id WHERE f.next_id IS NOT NULL GROUP BY w.k, f.next_id HAVING count(*) > 1) m JOIN down ON down.id = m.x) SELECT * FROM w) SELECT id, max(k) AS "order" FROM so GROUP BY id')
 def strahler_order(spark, d):
     return fl.strahler(flow(spark, d))
 
