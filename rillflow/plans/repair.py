@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import components, focal, grid, route, zonal
 from ..operators import flow as fl
 from ..storage import materialize
-from .inputs import ACC, D8, DEM, NEAR, WIDE, dem, flow, ncols, query, table
-from .terrain import _FLAWED, _LAB, _OCC, _STATION, STREAM, _flawed, _labelled, _occurrence
+from .inputs import ACC, NEAR, WIDE, dem, flow, ncols, query, table
+from .terrain import _FLAWED, _LAB, _STATION, STREAM, _flawed, _labelled, _occurrence
 
 _LAST = "(SELECT max(vec_id) FROM embeddings)"
-_STEP = "(VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1),(4,0,-1),(5,-1,-1),(6,-1,0),(7,-1,1))"
 
 
 def _filled_sql(rise: str) -> str:
@@ -182,5 +181,4 @@ def endorheic_routing(spark, d):
     low = dem(spark, d).where("h < 0.02")
     lab = components.label_mask(low, n)
     cells = focal.d8(low).withColumn("id", grid.cell_id(n)).join(lab, "id").select("label", "r", "c", "h", F.col("dir").cast("int").alias("dir"))
-    occ = _occurrence(spark, d).where("h < -0.12") if "h" in _occurrence(spark, d).columns else _occurrence(spark, d)
-    return route.route_endorheic(cells, occ.select("r", "c", "occ"), n, 20, 4)
+    return route.route_endorheic(cells, _occurrence(spark, d).select("r", "c", "occ"), n, 20, 4)
