@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their SQL."""
 
 from .ann import op6_nearest_neighbours
+from .bpe import op13_byte_bpe
 from .html import op9_html_extraction
 from .jaccard import op1_ngram_jaccard_join
 from .licenses import op3_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
         op8_source_mix,
         op9_html_extraction,
         op10_quality_rules,
+        op13_byte_bpe,
     )
 }
 
