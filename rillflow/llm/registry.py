@@ -2,6 +2,7 @@
 
 from .ann import op6_nearest_neighbours
 from .bpe import op13_byte_bpe
+from .conversations import op12_conversation_repair
 from .html import op9_html_extraction
 from .jaccard import op1_ngram_jaccard_join
 from .licenses import op3_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
         op8_source_mix,
         op9_html_extraction,
         op10_quality_rules,
+        op12_conversation_repair,
         op13_byte_bpe,
     )
 }
