@@ -9,6 +9,7 @@ from .licenses import op3_license_scan
 from .mixing import op8_source_mix
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
+from .search import op11_lexical_search
 from .secrets import op7_secret_scan
 from .sql import ORACLES
 from .tokens import op5_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
         op8_source_mix,
         op9_html_extraction,
         op10_quality_rules,
+        op11_lexical_search,
         op12_conversation_repair,
         op13_byte_bpe,
     )
