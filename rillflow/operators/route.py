@@ -11,52 +11,21 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import label_mask
+from .flood import around, flood_directions, route_floods  # noqa: F401
 from .flow import break_cycles, cycle_regions, terminal_labels
 from .focal import boundary_ring, d8, flow_edges
-from .grid import FACTORS, STEPS, cell_id, neighbours, with_tile
+from .grid import STEPS, cell_id, neighbours, with_tile
 from .zonal import water_bodies
 
 INFINITY = float("inf")
 
 
-def _around(cell: tuple[int, int]):
-    for k, (dr, dc) in enumerate(STEPS):
-        yield k, (cell[0] + dr, cell[1] + dc)
-
-
-def flood_directions(h: dict[tuple[int, int], float], start: tuple[int, int]) -> dict[tuple[int, int], int]:
-    """Direction codes towards start of all cells that it reaches; start itself gets none.
-
-    Cells are taken level first (in order of discovery), then downhill (highest first), then uphill (lowest first). A cell
-    points to the visited neighbour of gentlest rise if it was found from above, of steepest descent if from below, and to
-    its finder on level ground; what it points to was visited before it, so the directions hold no cycle.
-    """
-    seen, out = {start}, {}
-    level, down, up = deque([start]), [], []
-    while level or down or up:
-        cell = level.popleft() if level else heapq.heappop(down)[1] if down else heapq.heappop(up)[1]
-        for k, n in _around(cell):
-            if n in seen or n not in h:
-                continue
-            if h[n] == h[cell]:
-                best = (k + 4) % 8
-                level.append(n)
-            else:
-                lower = h[n] < h[cell]
-                ways = [((h[m] - h[n]) / FACTORS[j] if lower else (h[m] - h[n]) / FACTORS[j], j) for j, m in _around(n) if m in seen and (h[m] >= h[n] if lower else h[m] <= h[n])]
-                best = min(ways)[1]
-                heapq.heappush(down if lower else up, (-h[n] if lower else h[n], n))
-            seen.add(n)
-            out[n] = 1 << best
-    return out
-
-
 def level_directions(cells: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple[int, int], int]:
     """Direction codes along a breadth-first tree from start."""
     seen, todo, out = {start}, deque([start]), {}
     while todo:
         cell = todo.popleft()
-        for k, n in _around(cell):
+        for k, n in around(cell):
             if n in cells and n not in seen:
                 seen.add(n)
                 out[n] = 1 << (k + 4) % 8
@@ -64,25 +33,23 @@ def level_directions(cells: set[tuple[int, int]], start: tuple[int, int]) -> dic
     return out
 
 
-def _route(flat: bool):
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        cells = list(zip(g["r"].tolist(), g["c"].tolist()))
-        start = (int(g["start_r"].iloc[0]), int(g["start_c"].iloc[0]))
-        found = level_directions({*cells}, start) if flat else flood_directions(dict(zip(cells, g["h"].tolist())), start)
-        keep = dict(zip(cells, g["dir"].tolist()))
-        return pd.DataFrame({"label": key[0], "r": g["r"], "c": g["c"], "dir": [keep[x] if x == start else found.get(x, -1) for x in cells]})
-
-    return run
+def _route_level(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    cells = list(zip(g["r"].tolist(), g["c"].tolist()))
+    start = (int(g["start_r"].iloc[0]), int(g["start_c"].iloc[0]))
+    found, keep = level_directions({*cells}, start), dict(zip(cells, g["dir"].tolist()))
+    return pd.DataFrame({"label": key[0], "r": g["r"], "c": g["c"], "dir": [keep[x] if x == start else found.get(x, -1) for x in cells]})
 
 
 def route_depressions(cells: DataFrame, flat: bool = False) -> DataFrame:
     """Directions inside each depression: cells is label, r, c, h, dir, start_r, start_c; returns label, r, c, dir.
 
     The start cell (an outlet, or the lowest cell of an endorheic depression) keeps its direction; cells that it does not
-    reach get -1. One depression is one group: their sizes are set by the terrain.
+    reach get -1. Floods run by tile (route_floods), whatever a depression's size; with flat, a depression is one group.
     """
+    if not flat:
+        return route_floods(cells)
     rows = cells.select("label", "r", "c", F.col("h").cast("double").alias("h"), F.coalesce(F.col("dir").cast("int"), F.lit(0)).alias("dir"), "start_r", "start_c")
-    return rows.groupBy("label").applyInPandas(_route(flat), "label long, r int, c int, dir int")
+    return rows.groupBy("label").applyInPandas(_route_level, "label long, r int, c int, dir int")
 
 
 def _fill_tile(t: pd.DataFrame, rise: float) -> pd.DataFrame:
@@ -97,7 +64,7 @@ def _fill_tile(t: pd.DataFrame, rise: float) -> pd.DataFrame:
         f, x = heapq.heappop(heap)
         if f > level[x]:
             continue
-        for _, n in _around(x):
+        for _, n in around(x):
             if n in mine and (to := max(h[n], f + rise)) < level[n]:
                 level[n] = to
                 heapq.heappush(heap, (to, n))
