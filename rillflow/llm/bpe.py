@@ -26,6 +26,8 @@ from .tokens import vocabulary
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces and pairs that a worker remembers, and characters whose pieces are held at once.
 KNOWN, PAIRS, SLICE = 300_000, 1_000_000, 2_000_000
+#: Bytes of a piece that the automaton takes at once; more than twice the longest token.
+WINDOW = 4096
 
 
 class ByteBPE:
@@ -45,31 +47,66 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        if 2 * self.most > WINDOW:
+            raise ValueError("a token is too long for the window")
         self.pattern = regex.compile(pattern)
+        self.lengths = {rank: len(token) for token, rank in self.ranks.items()}
+        self.size = max(self.tokens) + 1
         self.next: dict[int, int] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.steps: dict[int, list | None] = {}
+        self.apart: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The merges as they are defined, lowest rank first and leftmost of equals: for pairs of tokens only."""
+    def merges(self, piece: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """The merges as they are defined, lowest rank first and leftmost of equals, for single tokens only: the parts that
+        are left, and after each merge its rank, the first part and the last."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, sys.maxsize), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == sys.maxsize:
-                break
+        ranks, none = self.ranks, sys.maxsize
+        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        steps = []
+        while pairs and (rank := min(pairs)) < none:
+            i = pairs.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            steps.append((rank, parts[0], parts[-1]))
+        return parts, steps
+
+    def grown(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """How the merges make a token, or None if they make other ones of its bytes."""
+        if token not in self.steps:
+            b = self.tokens[token]
+            parts, steps = self.merges(b)
+            self.steps[token] = [(-1, b[:1], b[-1:]), *steps] if parts == [b] else None
+        return self.steps[token]
 
     def kept_apart(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a; without one (-1), whether the merges make b at all."""
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) >= PAIRS:
-                self.apart.clear()
-            pair = [self.tokens[t] for t in (a, b) if t >= 0]
-            known = self.apart[a, b] = self.merged(b"".join(pair)) == pair
-        return known
+        """Whether token b may follow token a; without one (-1), whether the merges make b at all.
+
+        The merges inside both go on side by side, the lowest rank first, and the left one of equals; they are kept apart if
+        what meets at the border never comes first.
+        """
+        x, y = [] if a < 0 else self.grown(a), self.grown(b)
+        if a < 0 or x is None or y is None:
+            return x is not None and y is not None
+        i = j = 0
+        none, ranks = sys.maxsize, self.ranks
+        while True:
+            left = x[i + 1][0] if i + 1 < len(x) else none
+            right = y[j + 1][0] if j + 1 < len(y) else none
+            border = ranks.get(x[i][2] + y[j][1], none)
+            if border < left and border <= right:
+                return False
+            if left == right == none:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
 
     def shorter(self, token: int) -> int:
         """The next shorter token that this one starts with; -1 if there is none."""
@@ -83,28 +120,38 @@ class ByteBPE:
         """Ids of one piece, backtracking from longest matches."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        text, tokens, out, at = piece.decode("latin-1"), self.tokens, [], 0
+        text, n, lengths, apart, size = piece.decode("latin-1"), len(piece), self.lengths, self.apart, self.size
         # What precedes a place is settled by the place, so one that led nowhere is not entered again.
-        closed = bytearray(len(text) + 1)
-
-        def longest(start: int) -> int:
-            return next(self.automaton.iter_long(text[start : start + self.most]))[1]
-
-        token = longest(0)
+        closed, out, at, last = bytearray(n + 1), [], 0, -1
+        # Longest matches, each from the end of the one before, of a window that begins at base.
+        walk, ahead, base = self.automaton.iter_long(text[:WINDOW]), 0, 0
         while True:
-            while token >= 0 and (closed[at + len(tokens[token])] or not self.kept_apart(out[-1] if out else -1, token)):
+            if ahead != at or (at + self.most > base + WINDOW and base + WINDOW < n):
+                walk, base = self.automaton.iter_long(text[at : at + WINDOW]), at
+            token = next(walk)[1]
+            ahead = at + lengths[token]
+            while True:
+                if token < 0:
+                    closed[at] = 1
+                    token = out.pop()
+                    at -= lengths[token]
+                    last = out[-1] if out else -1
+                    token = self.shorter(token)
+                    continue
+                if not closed[at + lengths[token]]:
+                    pair = last * size + token
+                    if pair not in apart:
+                        if len(apart) >= PAIRS:
+                            apart.clear()
+                        apart[pair] = self.kept_apart(last, token)
+                    if apart[pair]:
+                        break
                 token = self.shorter(token)
-            if token < 0:
-                closed[at] = 1
-                last = out.pop()
-                at -= len(tokens[last])
-                token = self.shorter(last)
-                continue
             out.append(token)
-            at += len(tokens[token])
-            if at == len(text):
+            at += lengths[token]
+            last = token
+            if at == n:
                 return out
-            token = longest(at)
 
     def split(self, text: str) -> Iterator[list[str]]:
         """Pieces of a text, so many at once."""

@@ -46,7 +46,7 @@ def test_pieces_of_any_bytes_merge_as_defined(bpe):
     rng = random.Random(11)
     for _ in range(1500):
         piece = bytes(rng.choices(range(256), k=rng.randint(1, 30)) if rng.random() < 0.4 else rng.choices(b"aeinrst \xc3\xa9\xa8", k=rng.randint(1, 60)))
-        assert [bpe.tokens[i] for i in bpe.encode_piece(piece)] == bpe.merged(piece) or piece in bpe.ranks
+        assert [bpe.tokens[i] for i in bpe.encode_piece(piece)] == bpe.merges(piece)[0] or piece in bpe.ranks
 
 
 def test_unlike_vocabularies_with_made_up_ranks(tmp_path):
@@ -65,6 +65,14 @@ def test_unlike_vocabularies_with_made_up_ranks(tmp_path):
             assert own.encode(t).tolist() == library.encode_ordinary(t)
 
 
+def test_windows_change_nothing(bpe, library, monkeypatch):
+    monkeypatch.setattr("rillflow.llm.bpe.WINDOW", 2 * bpe.most + 1)
+    rng = random.Random(9)
+    for letters in ("ab", "aeinrst", "é\u00e8a"):
+        text = "".join(rng.choices(letters, k=6000))
+        assert bpe.encode(text).tolist() == library.encode_ordinary(text)
+
+
 def test_long_texts_are_split_in_parts(bpe, library, monkeypatch):
     text = "Some words, and   spaces \n\n that 12 parts cut.  " * 40
     monkeypatch.setattr("rillflow.llm.bpe.SLICE", 100)
