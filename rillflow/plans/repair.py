@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import components, focal, grid, route, zonal
 from ..operators import flow as fl
 from ..storage import materialize
-from .inputs import ACC, NEAR, WIDE, dem, flow, ncols, query, table
-from .terrain import _FLAWED, _LAB, _STATION, STREAM, _flawed, _labelled, _occurrence
+from .inputs import ACC, NEAR, WIDE, dem, flow, ncols, nrows, query, table
+from .terrain import _FLAWED, _LAB, _STATION, STREAM, _flawed, _flooded, _labelled, _occurrence
 
 _LAST = "(SELECT max(vec_id) FROM embeddings)"
 
@@ -166,6 +166,19 @@ def flood_directions(spark, d):
     return route.route_depressions(_started(spark, d))
 
 
+_SPILT = f"{NEAR}, start AS (SELECT r, c, h FROM dem WHERE r = 0 OR c = 0 OR r = {_LAST} OR c = {WIDE} - 1 ORDER BY h, r, c LIMIT 1), rise AS MATERIALIZED (WITH RECURSIVE fl(r, c, f) USING KEY (r, c) AS (SELECT r, c, h FROM start UNION SELECT n.nr, n.nc, min(greatest(n.nh, f.f)) FROM fl f JOIN near n ON n.r = f.r AND n.c = f.c LEFT JOIN recurring.fl o ON o.r = n.nr AND o.c = n.nc WHERE o.f IS NULL OR greatest(n.nh, f.f) < o.f GROUP BY n.nr, n.nc) SELECT * FROM fl)"
+
+
+@query(f"WITH {_SPILT} SELECT r, c, f AS level, true AS arrives FROM rise")
+def region_flood(spark, d):
+    """The whole raster as one region, flooded from the lowest cell of its border: levels, and whether each cell's way ends there."""
+    cells, n, last = materialize(dem(spark, d), "region"), ncols(spark, d), nrows(spark, d) - 1
+    rim = cells.where((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == last) | (F.col("c") == n - 1))
+    start = rim.agg(F.min(F.struct("h", "r", "c")).alias("s")).select(F.col("s.r").alias("start_r"), F.col("s.c").alias("start_c"))
+    region = cells.crossJoin(F.broadcast(start)).select(F.lit(0).alias("label"), "r", "c", "h", F.lit(0).alias("dir"), "start_r", "start_c")
+    return _flooded(materialize(region, "region"), n).drop("label")
+
+
 @query()
 def exorheic_correction(spark, d):
     """Depressions re-routed from their outlets, those of even labels as flats."""

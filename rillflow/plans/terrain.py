@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import algebra, components, focal, grid, route, vector, zonal
+from ..operators import algebra, components, flood, focal, grid, route, vector, zonal
 from ..operators import flow as fl
 from ..storage import materialize
 from .inputs import ACC, D8, DEM, DIRS, DOWN, FLOW, NEAR, WATER, WIDE, dem, flow, ncols, nrows, query, table, water
@@ -392,11 +392,23 @@ def _routed(spark, d, flat: bool):
 
 _ROUTED = f"WITH {WATER} SELECT label, count(*) AS cells, CAST(0 AS BIGINT) AS unrouted, count(*) AS reached FROM comp GROUP BY label"
 
+_RISE = f"{_LAB}, low AS (SELECT label, arg_min(r * {WIDE} + c, (h, r, c)) AS id, min(h) AS h FROM lab WHERE label IS NOT NULL GROUP BY label), le AS MATERIALIZED (SELECT r * {WIDE} + c AS a, (r + dr) * {WIDE} + c + dc AS b, nh FROM (SELECT pair.*, d8.dr, d8.dc FROM pair JOIN d8 USING (k)) WHERE label = nlabel), rise AS MATERIALIZED (WITH RECURSIVE l(id, f) USING KEY (id) AS (SELECT id, h FROM low UNION SELECT le.b, min(greatest(l.f, le.nh)) FROM l JOIN le ON le.a = l.id LEFT JOIN recurring.l o ON o.id = le.b WHERE o.f IS NULL OR greatest(l.f, le.nh) < o.f GROUP BY le.b) SELECT * FROM l)"
 
-@query(_ROUTED)
+
+@query(f"WITH {_RISE} SELECT label, r, c, f AS level, true AS arrives FROM lab JOIN rise ON rise.id = r * {WIDE} + c WHERE label IS NOT NULL")
 def pf_d8_route(spark, d):
-    """Every cell of a depression, routed by its flood, reaches the lowest cell."""
-    return _routed(spark, d, False)
+    """Depressions flooded from their lowest cells: the level of the water at each cell, and whether its way ends there."""
+    lab = materialize(_labelled(spark, d).where("label is not null"), "lab")
+    low = zonal.lowest_cells(lab).select("label", F.col("low_r").cast("int").alias("start_r"), F.col("low_c").cast("int").alias("start_c"))
+    return _flooded(materialize(lab.join(low, "label").select("label", "r", "c", "h", F.lit(0).alias("dir"), "start_r", "start_c"), "flood"), ncols(spark, d))
+
+
+def _flooded(cells, n: int):
+    """Levels of floods, and whether the directions of each cell lead to its start."""
+    spill = flood.Spill(cells)
+    ends = fl.terminal_labels(focal.flow_edges(materialize(spill.directions(), "routed"), n)).select("id", F.col("label").alias("end"))
+    start = cells.select("label", grid.cell_id(n, "start_r", "start_c").alias("start")).distinct()
+    return spill.levels().withColumn("id", grid.cell_id(n)).join(ends, "id").join(start, "label").select("label", "r", "c", "level", F.coalesce(F.col("end") == F.col("start"), F.lit(False)).alias("arrives"))
 
 
 @query(_ROUTED)
