@@ -74,9 +74,10 @@ def test_windows_change_nothing(bpe, library, monkeypatch):
 
 
 def test_long_texts_are_split_in_parts(bpe, library, monkeypatch):
-    text = "Some words, and   spaces \n\n that 12 parts cut.  " * 40
-    monkeypatch.setattr("rillflow.llm.bpe.SLICE", 100)
-    assert bpe.encode(text).tolist() == library.encode_ordinary(text)
+    text = "Some words, and   spaces \n\n that 12 parts cut. \x1c\x1cA \x1d b\x85 c \xa0 d  \t  e  " * 40
+    for size in (3, 100, 101):
+        monkeypatch.setattr("rillflow.llm.bpe.SLICE", size)
+        assert bpe.encode(text).tolist() == library.encode_ordinary(text)
 
 
 def test_documents(spark, odd_docs, no_docs, library):
