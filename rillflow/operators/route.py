@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import label_mask
-from .flood import around, flood_directions, route_floods  # noqa: F401
+from .flood import around, flood_directions, route_floods, with_rims  # noqa: F401
 from .flow import break_cycles, cycle_regions, terminal_labels
 from .focal import boundary_ring, d8, flow_edges
-from .grid import STEPS, cell_id, neighbours, with_tile
+from .grid import STEPS, cell_id, neighbours
 from .zonal import water_bodies
 
 INFINITY = float("inf")
@@ -89,15 +89,9 @@ def fill(cells: DataFrame, edge: int = 64, rise: float = 0.0, start: str | None
             rim = rim | F.col(f"h_{k}").isNull()
     state = materialize(n.select("r", "c", "h", F.when(rim, F.col("h")).otherwise(F.lit(INFINITY)).alias("f"), F.lit(True).alias("new")), "fill")
     while True:
-        tiled = with_tile(state, edge)
-        at_r, at_c = F.col("r") % edge, F.col("c") % edge
-        # A cell at a tile's rim is also sent to the tiles beside it.
-        dr = F.array_compact(F.array(F.lit(0), F.when(at_r == 0, -1), F.when(at_r == edge - 1, 1)))
-        dc = F.array_compact(F.array(F.lit(0), F.when(at_c == 0, -1), F.when(at_c == edge - 1, 1)))
-        sent = tiled.withColumn("dr", F.explode(dr)).withColumn("dc", F.explode(dc))
-        sent = sent.select((F.col("tile_r") + F.col("dr")).alias("tr"), (F.col("tile_c") + F.col("dc")).alias("tc"), "r", "c", "h", "f", "new", ((F.col("dr") == 0) & (F.col("dc") == 0)).alias("own"))
+        sent = with_rims(state, edge, "h", "f", "new")
         active = sent.where("new").select("tr", "tc").distinct()
-        done = sent.join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(lambda t: _fill_tile(t, rise), "r int, c int, h double, f double")
+        done = sent.join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(lambda t: _fill_tile(t, rise), "r long, c long, h double, f double")
         old = state.select("r", "c", "h", F.col("f").alias("was"))
         after = old.join(done.select("r", "c", "f"), ["r", "c"], "left").select("r", "c", "h", F.coalesce("f", "was").alias("f"), (F.coalesce("f", "was") < F.col("was")).alias("new"))
         state = materialize(after, "fill")
@@ -223,9 +217,22 @@ def turn_counterflows(directions: DataFrame, ncols: int) -> DataFrame:
 
 
 def refill_regions(cells: DataFrame, region: DataFrame, rise: float = 1e-5) -> DataFrame:
-    """r, c, dir of a raster (r, c, h, dir) with the cells of a region (r, c) re-directed over its filled surface."""
-    inside = region.select("r", "c", F.lit(True).alias("in")).distinct()
-    c = materialize(cells.join(inside, ["r", "c"], "left"), "refill")
-    level = materialize(fill(c.where("in").select("r", "c", "h"), rise=rise).select("r", "c", "f"), "refill")
-    new = d8(c.join(level, ["r", "c"], "left").select("r", "c", F.coalesce("f", "h").alias("h"))).select("r", "c", F.col("dir").cast("int").alias("new"))
-    return c.join(new, ["r", "c"]).select("r", "c", F.when(F.col("in"), F.col("new")).otherwise(F.col("dir").cast("int")).alias("dir"))
+    """r, c, dir of a raster (r, c, h, dir) with the cells of each region (label, r, c) re-directed over its filled crop.
+
+    A crop is the region's box and a cell more on each side; it is filled by itself, from its own border, so water leaves a
+    region wherever the ground around lets it. Crops may overlap, regions must not. For the filling, crops are laid one
+    below the other, with a free row between, as one raster.
+    """
+    region = materialize(region.select("label", "r", "c"), "refill")
+    box = region.groupBy("label").agg((F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1"))
+    box = materialize(box, "refill")
+    high = box.agg(F.max(F.col("r1") - F.col("r0")).alias("high")).first()["high"]
+    if high is None:
+        return cells.select("r", "c", F.col("dir").cast("int").alias("dir"))
+    crop = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
+    at = (F.col("label") * (high + 2) + F.col("r") - F.col("r0")).alias("at")
+    crop = materialize(crop.join(cells.select("r", "c", "h"), ["r", "c"]).select("label", at, "r", "c", "h"), "refill")
+    level = materialize(fill(crop.select(F.col("at").alias("r"), "c", "h"), rise=rise).select("r", "c", F.col("f").alias("h")), "refill")
+    new = d8(level).select(F.col("r").alias("at"), "c", F.col("dir").cast("int").alias("new"))
+    new = crop.join(new, ["at", "c"]).join(region, ["label", "r", "c"]).select("r", "c", "new")
+    return cells.join(new, ["r", "c"], "left").select("r", "c", F.coalesce("new", F.col("dir").cast("int")).alias("dir"))

@@ -83,9 +83,12 @@ def counterflow_regions(spark, d):
     return _counterflow_cells(spark, d).groupBy("label").agg(F.count("*").alias("n"), (F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1"))
 
 
-@query()
+_CROPS = f"{_FWALK}, reg AS MATERIALIZED (SELECT a AS label, id // {WIDE} AS r, id % {WIDE} AS c FROM walk JOIN pairs ON pos = a), box AS (SELECT label, min(r) - 1 AS r0, max(r) + 1 AS r1, min(c) - 1 AS c0, max(c) + 1 AS c1 FROM reg GROUP BY label), crop AS MATERIALIZED (SELECT label, r, c, h, r = r0 OR r = r1 OR c = c0 OR c = c1 OR r = 0 OR c = 0 OR r = {_LAST} OR c = {WIDE} - 1 AS rim FROM box JOIN dem ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1), ce AS MATERIALIZED (SELECT a.label, a.r, a.c, n.k, n.f, n.nr, n.nc, n.nh FROM crop a JOIN near n ON n.r = a.r AND n.c = a.c JOIN crop b ON b.label = a.label AND b.r = n.nr AND b.c = n.nc), lev AS MATERIALIZED (WITH RECURSIVE fl(label, r, c, f) USING KEY (label, r, c) AS (SELECT label, r, c, h FROM crop WHERE rim UNION SELECT n.label, n.nr, n.nc, min(greatest(n.nh, f.f + 1e-5::DOUBLE)) FROM fl f JOIN ce n ON n.label = f.label AND n.r = f.r AND n.c = f.c LEFT JOIN recurring.fl o ON o.label = n.label AND o.r = n.nr AND o.c = n.nc WHERE o.f IS NULL OR greatest(n.nh, f.f + 1e-5::DOUBLE) < o.f GROUP BY n.label, n.nr, n.nc) SELECT * FROM fl), way AS (SELECT a.r, a.c, ce.k, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.f - b.f) / ce.f DESC, ce.k) AS i FROM lev a JOIN reg USING (label, r, c) JOIN ce ON ce.label = a.label AND ce.r = a.r AND ce.c = a.c JOIN lev b ON b.label = a.label AND b.r = ce.nr AND b.c = ce.nc WHERE b.f <= a.f)"
+
+
+@query(f"WITH {_FD.replace(_FLAWED, _CROPS)} SELECT code.r, code.c, CAST(CASE WHEN reg.label IS NULL THEN code.dir ELSE coalesce(1 << way.k, 0) END AS INT) AS dir FROM code LEFT JOIN reg ON reg.r = code.r AND reg.c = code.c LEFT JOIN way ON way.r = code.r AND way.c = code.c AND way.i = 1")
 def counterflow_refill(spark, d):
-    """Regions of counter-flows re-directed over their filled surface."""
+    """Regions of counter-flows re-directed over their filled crops."""
     return route.refill_regions(_flawed_directions(spark, d), _counterflow_cells(spark, d))
 
 

@@ -1,5 +1,6 @@
 """Repairs of directions against walks over small grids."""
 
+import heapq
 import random
 
 import pytest
@@ -123,14 +124,39 @@ def test_endorheic(spark, bodies):
     assert set(ends.values()) <= {x for x, code in want.items() if code == 0}
 
 
-def test_refill_leaves_the_rest(spark):
+def crop_directions(h, inside, rise):
+    """Directions of a region over its box and a cell more, filled from the box's border by one flood."""
+    rs, cs = [r for r, _ in inside], [c for _, c in inside]
+    crop = {x: v for x, v in h.items() if min(rs) - 1 <= x[0] <= max(rs) + 1 and min(cs) - 1 <= x[1] <= max(cs) + 1}
+    around = lambda x: [(x[0] + dr, x[1] + dc) for dr, dc in grid.STEPS]
+    level = {x: v if any(n not in crop for n in around(x)) else float("inf") for x, v in crop.items()}
+    heap = [(v, x) for x, v in level.items()]
+    heapq.heapify(heap)
+    while heap:
+        f, x = heapq.heappop(heap)
+        for n in around(x):
+            if n in crop and (to := max(crop[n], f + rise)) < level[n]:
+                level[n] = to
+                heapq.heappush(heap, (to, n))
+    out = {}
+    for x in inside:
+        ways = [(-(level[x] - level[n]) / grid.FACTORS[k], k) for k, n in enumerate(around(x)) if n in level and level[n] <= level[x]]
+        out[x] = 1 << min(ways)[1] if ways else 0
+    return out
+
+
+def test_refill_goes_over_the_crop_of_each_region(spark):
     h, dirs = heights(5, 10**6), wild(5)
-    inside = {(r, c) for r in range(3, 9) for c in range(2, 8)}
-    region = spark.createDataFrame(sorted(inside), "r int, c int")
-    out = collected(route.refill_regions(frame(spark, h, dir=dirs), region))
-    assert all(out[x] == dirs[x] for x in h if x not in inside)
-    core = {x for x in inside if x[0] in range(4, 8) and x[1] in range(3, 7)}
-    assert all(out[x] for x in core) and all(end(x, {y: out[y] for y in inside}) is not None for x in inside)
+    regions = {3: {(r, c) for r in range(3, 9) for c in range(2, 6)}, 50: {(r, c) for r in range(4, 8) for c in range(6, 9)}, 7: {(0, 0), (0, 1)}}
+    rows = [(k, *x) for k, inside in regions.items() for x in inside]
+    out = collected(route.refill_regions(frame(spark, h, dir=dirs), spark.createDataFrame(rows, "label long, r int, c int")))
+    want = dict(dirs)
+    for inside in regions.values():
+        want |= crop_directions(h, inside, 1e-5)
+    assert out == want
+    assert all(out[x] for k in (3, 50) for x in regions[k])
+    none = spark.createDataFrame([], "label long, r int, c int")
+    assert collected(route.refill_regions(frame(spark, h, dir=dirs), none)) == dirs
 
 
 def test_basins_hold_those_above(spark):
