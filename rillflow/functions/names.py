@@ -20,6 +20,25 @@ def tile_corner(name: Column) -> tuple[Column, Column]:
     return signed(part(3), part(4), "W"), signed(part(1), part(2), "S")
 
 
+def merged_name(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+    """Of an extent of tiles, such as N2530E068075; the letters are those of the smaller corner."""
+    west, east, south, north = F.least(lon0, lon1), F.greatest(lon0, lon1), F.least(lat0, lat1), F.greatest(lat0, lat1)
+    digits = lambda x, n: F.lpad(F.abs(x).cast("int").cast("string"), n, "0")
+    return F.concat(F.when(south >= 0, "N").otherwise("S"), digits(south, 2), digits(north, 2), F.when(west >= 0, "E").otherwise("W"), digits(west, 3), digits(east, 3))
+
+
+def merged_corners(name: Column, cell: float = 0.00027777778) -> Column:
+    """The extent that a merged or a single tile name stands for: west, south, east, north, the last cell's corner included.
+
+    A letter holds for both of its numbers, so names of extents across the equator or the first meridian come back with
+    the sign of their smaller corner on both. Null where there is no name.
+    """
+    pattern = r"([NS])(\d{2})(\d{2})?([EW])(\d{3})(\d{3})?"
+    part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
+    signed = lambda letter, i, other: F.coalesce(part(i), part(other)).cast("int") * F.when(part(letter).isin("S", "W"), -1).otherwise(1)
+    return F.struct(signed(4, 5, 5).alias("west"), signed(1, 2, 2).alias("south"), (signed(4, 6, 5) + 1 - cell).alias("east"), (signed(1, 3, 2) + 1 - cell).alias("north"))
+
+
 def pixel_to_lonlat(r: Column, c: Column, x0: float, dx: float, y0: float, dy: float) -> tuple[Column, Column]:
     """Upper-left corner of a pixel."""
     return x0 + c * dx, y0 + r * dy

@@ -7,6 +7,7 @@ of rounds, logarithmically. Each round writes its state, which bounds the lineag
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,8 @@ def cycle_cells(flow: DataFrame) -> DataFrame:
     """id, on_cycle of all cells that never reach a terminal: those in a cycle, and those above one."""
     state = materialize(flow.select("id", F.col("next_id").alias("p")).where("p is not null"), "cycle")
     for _ in range(_rounds(flow)):
+        if state.isEmpty():
+            break
         jump = state.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         state = materialize(state.join(jump, "p").select("id", F.col("pp").alias("p")), "cycle")
     on = state.select(F.col("p").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
@@ -98,18 +101,48 @@ def counterflow_pairs(flow: DataFrame) -> DataFrame:
 def upstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Transitive closure against the flow: edges (up_id, down_id), seeds (id) to (seed, id), the seed itself excluded.
 
-    Only pairs that were new in the last round are joined with the edges, so the work is that of the pairs returned; the
-    rounds are the longest path. For cells of a flow graph, each with one way down, see basins_at.
+    Where every id has one way down and none leads back, the seeds below each other are found by doubling and all else is
+    labelled with the first seed on its way, in logarithmic rounds. Other edges are walked from the seeds: only pairs that
+    were new in the last round are joined with the edges, each round is written once, and the rounds are the longest path.
     """
     edges = materialize(edges.select("up_id", "down_id").where("up_id != down_id").distinct(), "closure")
     front = materialize(seeds.select(F.col("id").alias("seed"), "id").distinct(), "closure")
-    reach = None
+    if edges.groupBy("up_id").count().where("count > 1").isEmpty():
+        closed = _closed_forest(edges, front)
+        if closed is not None:
+            return closed
+    fronts: list[DataFrame] = []
     while True:
         more = front.join(edges.select(F.col("down_id").alias("id"), F.col("up_id").alias("up")), "id").select("seed", F.col("up").alias("id")).where("seed != id").distinct()
-        front = materialize(more if reach is None else more.join(reach, ["seed", "id"], "left_anti"), "closure")
-        reach = front if reach is None else materialize(reach.unionByName(front), "closure")
+        for f in fronts:
+            more = more.join(f, ["seed", "id"], "left_anti")
+        front = materialize(more, "closure")
         if front.isEmpty():
-            return reach.select("seed", "id")
+            break
+        fronts.append(front)
+        if len(fronts) == 8:
+            fronts = [materialize(reduce(DataFrame.unionByName, fronts), "closure")]
+    return reduce(DataFrame.unionByName, fronts) if fronts else front
+
+
+def _closed_forest(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """upstream where every id has one way down; None if a way leads back."""
+    ids = edges.select(F.col("up_id").alias("id"), F.col("down_id").alias("next_id"))
+    ends = ids.select(F.col("next_id").alias("id")).distinct().join(ids, "id", "left_anti").withColumn("next_id", F.lit(None).cast(ids.schema["id"].dataType))
+    flow = materialize(ids.unionByName(ends), "closure")
+    if not cycle_cells(flow).isEmpty():
+        return None
+    own = seeds.select("id")
+    first = materialize(terminal_labels(flow, own).join(own.select(F.col("id").alias("label")), "label", "left_semi"), "closure")
+    # The next seed below each seed, and from there all seeds below it.
+    jump = materialize(own.join(flow.where("next_id is not null"), "id").join(first.select(F.col("id").alias("next_id"), "label"), "next_id").select("id", F.col("label").alias("to")), "closure")
+    pairs = jump
+    while not jump.isEmpty():
+        further = jump.join(pairs.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+        pairs = materialize(pairs.unionByName(further), "closure")
+        jump = materialize(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "closure")
+    holds = pairs.select(F.col("to").alias("seed"), F.col("id").alias("label")).unionByName(own.select(F.col("id").alias("seed"), F.col("id").alias("label")))
+    return holds.join(first, "label").select("seed", "id").where("seed != id")
 
 
 def basins_at(flow: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -173,6 +206,105 @@ def stream_links(flow: DataFrame, orders: DataFrame) -> DataFrame:
     return label.select("id", F.col("p").alias("link"), "step")
 
 
+def link_basins(flow: DataFrame, streams: DataFrame) -> DataFrame:
+    """id, link: the end of the first stream link on each cell's way; streams (id, next_id) are the cells of links.
+
+    A link ends before a confluence, at a terminal, and where the streams end. Cells without one below are left out.
+    """
+    into = streams.where("next_id is not null").groupBy(F.col("next_id").alias("id")).agg(F.count("*").alias("n"))
+    below = streams.select("id").join(into, "id", "left").select(F.col("id").alias("next_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    ends = materialize(streams.join(below, "next_id", "left").where("next_id is null or n is null or n > 1").select("id"), "links")
+    return terminal_labels(flow, ends).join(ends.select(F.col("id").alias("label")), "label", "left_semi").select("id", F.col("label").alias("link"))
+
+
+def river_lines(flow: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rivers as lines: line, order, step, id, own; orders (id, order) names the river cells.
+
+    A line is all cells of one order one after the other. Two of an order that meet make a larger one, so a cell has one
+    neighbour of its order above and one below at most, and the line, named by its first cell, does not depend on where
+    one begins. After its own cells comes the one beyond, where the line flows into another or leaves the rivers (own is
+    false). Cells on cycles that keep their order have no first cell and are left out.
+    """
+    known = materialize(flow.join(orders.select("id", "order"), "id"), "lines")
+    below = orders.select(F.col("id").alias("next_id"), F.col("order").alias("below"))
+    ahead = materialize(known.join(below, "next_id", "left").select("id", "order", "next_id", F.coalesce(F.col("below") == F.col("order"), F.lit(False)).alias("goes_on")), "lines")
+    back = ahead.where("goes_on").select(F.col("next_id").alias("id"), F.col("id").alias("prev"))
+    chain = materialize(ahead.select("id").join(back, "id", "left").select("id", F.col("prev").alias("next_id")), "lines")
+    first = materialize(terminal_labels(chain).where("label is not null").withColumnRenamed("label", "line"), "lines")
+    step = accumulate(ahead.join(first, "id", "left_semi").select("id", F.when(F.col("goes_on"), F.col("next_id")).alias("next_id")))
+    own = materialize(ahead.join(first, "id").join(step.withColumnRenamed("acc", "step"), "id"), "lines")
+    beyond = own.where("not goes_on and next_id is not null").select("line", "order", (F.col("step") + 1).alias("step"), F.col("next_id").alias("id"), F.lit(False).alias("own"))
+    return own.select("line", "order", "step", "id", F.lit(True).alias("own")).unionByName(beyond)
+
+
+def line_strings(lines: DataFrame, ncols: int, west: float, north: float, size: float) -> DataFrame:
+    """river_lines as one row each: line, order, cells, points (centres x, y in order, the one beyond at the end); two at least."""
+    x, y = west + (F.col("id") % ncols + 0.5) * size, north - (F.floor(F.col("id") / ncols) + 0.5) * size
+    placed = lines.select("line", "order", "own", F.struct("step", x.alias("x"), y.alias("y")).alias("p"))
+    points = F.transform(F.sort_array(F.collect_list("p")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return placed.groupBy("line", "order").agg(F.count_if("own").alias("cells"), points.alias("points")).where(F.size("points") > 1)
+
+
+def reverse_cycles(flow: DataFrame, near: DataFrame) -> DataFrame:
+    """flow (id, next_id) in which every cycle leaves its basin, by turning round as few cells as can be; near is id, k, to:
+    the neighbours of cells, in order.
+
+    All that ends in a cycle is a basin. A basin is left at the cell with the fewest steps to its cycle (then the smallest
+    id, then the first neighbour) that has a neighbour in another one, and the way from there to the cycle is turned round.
+    A basin must not be left for one that flows into it: basins that choose each other in a ring wait but for one of them,
+    and choose again among those outside of what flows into them. So there are at most half as many in each round. A basin
+    without a way out ends at the first cell of its cycle.
+    """
+    region = materialize(cycle_regions(flow).withColumnRenamed("label", "basin"), "reverse")
+    if region.isEmpty():
+        return flow
+    ring = materialize(cycle_cells(flow).where("on_cycle").select("id"), "reverse")
+    own = flow.join(region, "id")
+    tree = materialize(own.join(ring.withColumn("on", F.lit(True)), "id", "left").select("id", "basin", F.when(F.col("on").isNull(), F.col("next_id")).alias("next_id")), "reverse")
+    # Steps to the cycle, by doubling.
+    state = materialize(tree.select("id", F.col("next_id").alias("p"), F.col("next_id").isNotNull().cast("long").alias("steps")), "reverse")
+    for _ in range(_rounds(tree)):
+        if state.where("p is not null").isEmpty():
+            break
+        jump = state.select(F.col("id").alias("p"), F.col("p").alias("pp"), F.col("steps").alias("more"))
+        state = materialize(state.join(jump, "p", "left").select("id", F.col("pp").alias("p"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "reverse")
+    steps = state.select("id", "steps")
+    # Ways out of basins; what ends in no cycle is basin -1.
+    there = flow.select(F.col("id").alias("to")).join(region.select(F.col("id").alias("to"), F.col("basin").alias("other")), "to", "left").select("to", F.coalesce("other", F.lit(-1).cast("long")).alias("other"))
+    ways = materialize(near.join(region, "id").join(steps, "id").join(there, "to").where("basin != other").select("basin", "other", F.struct("steps", "id", "k", "to").alias("way")), "reverse")
+    ways = materialize(ways.groupBy("basin", "other").agg(F.min("way").alias("way")), "reverse")
+    basins = region.select("basin").distinct()
+    # What each basin flows into so far, in the end: itself, if it waits.
+    end = materialize(basins.select("basin", F.col("basin").alias("end")).unionByName(flow.sparkSession.range(1).select(F.lit(-1).cast("long").alias("basin"), F.lit(-1).cast("long").alias("end"))), "reverse")
+    chosen = []
+    while True:
+        wait = end.where("basin = end and basin >= 0").select("basin")
+        to = end.select(F.col("basin").alias("other"), F.col("end").alias("into"))
+        best = materialize(ways.join(wait, "basin", "left_semi").join(to, "other").where("into != basin").groupBy("basin").agg(F.min(F.struct("way", "into")).alias("m")), "reverse")
+        if best.isEmpty():
+            break
+        goes = wait.join(best, "basin", "left").select(F.col("basin").alias("id"), F.col("m.into").alias("next_id"))
+        goes = materialize(goes.unionByName(flow.sparkSession.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("next_id"))), "reverse")
+        kept = materialize(break_cycles(goes, goes.select("id", F.lit(0.0).alias("h"))), "reverse")
+        chosen.append(materialize(kept.where("next_id is not null").select(F.col("id").alias("basin")).join(best, "basin").select("basin", "m.way"), "reverse"))
+        ends = terminal_labels(kept).select(F.col("id").alias("end"), F.col("label").alias("new"))
+        end = materialize(end.join(ends, "end").select("basin", F.col("new").alias("end")), "reverse")
+    out = materialize(reduce(DataFrame.unionByName, chosen).select("basin", F.col("way.id").alias("id"), F.col("way.to").alias("to"), F.col("way.steps").alias("steps")) if chosen else basins.select("basin", F.col("basin").alias("id"), F.lit(None).cast("long").alias("to"), F.lit(0).cast("long").alias("steps")).limit(0), "reverse")
+    stays = basins.join(out, "basin", "left_anti").select(F.col("basin").alias("id"), F.lit(None).cast("long").alias("to"))
+    # The way from the exit to the cycle: cells at 1, 2, 4 .. steps more in each round.
+    path = out.select("id", F.lit(0).cast("long").alias("at"), F.col("id").alias("exit"), "steps")
+    jump = materialize(tree.where("next_id is not null").select("id", F.col("next_id").alias("to")), "reverse")
+    reach = 1
+    while not path.where(F.col("steps") >= reach).isEmpty():
+        further = path.where(F.col("at") + reach <= F.col("steps")).join(jump, "id").select(F.col("to").alias("id"), (F.col("at") + reach).alias("at"), "exit", "steps")
+        path = materialize(path.unionByName(further), "reverse")
+        jump = materialize(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "reverse")
+        reach *= 2
+    turned = path.join(path.select("exit", (F.col("at") + 1).alias("at"), F.col("id").alias("to")), ["exit", "at"]).select("id", "to")
+    new = out.select("id", "to").unionByName(turned).unionByName(stays).withColumn("changed", F.lit(True))
+    return flow.join(new, "id", "left").select("id", F.when(F.col("changed"), F.col("to")).otherwise(F.col("next_id")).alias("next_id"))
+
+
 def river_mouths(flow: DataFrame, streams: DataFrame, valid: DataFrame) -> DataFrame:
     """Stream cells whose downstream cell has no value."""
     return streams.join(flow, "id").where("next_id is not null").join(valid.select(F.col("id").alias("next_id")), "next_id", "left_anti").select("id", "next_id")

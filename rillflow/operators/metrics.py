@@ -25,6 +25,12 @@ def error_class(re: Column) -> Column:
     return F.when(e <= 0.05, 1).when(e <= 0.1, 2).when(e <= 0.2, 3).otherwise(4)
 
 
+def score_shares(df: DataFrame, score: str, marks: tuple[float, ...] = (0.6, 0.8)) -> DataFrame:
+    """n, mean, median of a score and the share of rows at or above each mark (at_60 for .6); nulls are left out."""
+    shares = [F.round(F.avg((F.col(score) >= m).cast("int")), 6).alias(f"at_{round(100 * m)}") for m in marks]
+    return df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.percentile(score, 0.5), 6).alias("median"), *shares)
+
+
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Median and quartiles of y in bins of x whose edges are quantiles; equal edges are one. Right-closed bins."""
     marks = [i / bins for i in range(bins + 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .focal import boundary_ring
@@ -62,3 +62,21 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select("basin", "r", "c", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("basin", "r", "c", F.lit(0).alias("a"), F.lit(1).alias("b")))
     both = x.groupBy("basin", "r", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     return both.groupBy("basin").agg(F.sum(F.col("a") * F.col("b")).alias("both"), F.count("*").alias("either")).withColumn("csi", F.round(F.col("both") / F.col("either"), 6))
+
+
+def outlet_scan(ring: DataFrame) -> DataFrame:
+    """The outlet of each depression, as a scan of its ring finds it: label, r, c, h.
+
+    ring is label, seq, r, c, h, dir, to_label: cells beside a depression in the order of the scan, with their direction (0 or
+    null: none) and the label of the cell that it leads to. A cell that is no lower than the outlet so far is passed over; one
+    without a direction ends the scan and is the outlet; one that flows into the depression is passed over; any other
+    becomes the outlet. The outlet so far is a running minimum, so the scan is a window and no loop. Null heights are passed over.
+    """
+    ends, leaves = F.coalesce(F.col("dir"), F.lit(0)) == 0, ~F.col("to_label").eqNullSafe(F.col("label"))
+    before = Window.partitionBy("label").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.min(F.when(~ends & leaves, F.col("h"))).over(before)
+    seen = ring.where("h is not null").withColumn("stop", ends & (F.col("h") < F.coalesce(so_far, F.lit(float("inf"))))).withColumn("ends", ends).withColumn("leaves", leaves)
+    cell = F.struct("h", "seq", "r", "c")
+    found = seen.groupBy("label").agg(F.min_by(cell, F.when(F.col("stop"), F.col("seq"))).alias("stop"), F.min(F.when(~F.col("ends") & F.col("leaves"), cell)).alias("low"))
+    o = F.coalesce("stop", "low")
+    return found.select("label", o["r"].alias("r"), o["c"].alias("c"), o["h"].alias("h")).where("r is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import components, focal, grid, route, zonal
 from ..operators import flow as fl
 from ..storage import materialize
-from .inputs import ACC, NEAR, WIDE, dem, flow, ncols, nrows, query, table
+from .inputs import ACC, DOWN, NEAR, WIDE, dem, flow, ncols, nrows, query, table
 from .terrain import _FLAWED, _LAB, _STATION, STREAM, _flawed, _flooded, _labelled, _occurrence
 
 _LAST = "(SELECT max(vec_id) FROM embeddings)"
@@ -198,3 +198,53 @@ def endorheic_routing(spark, d):
     lab = components.label_mask(low, n)
     cells = focal.d8(low).withColumn("id", grid.cell_id(n)).join(lab, "id").select("label", "r", "c", "h", F.col("dir").cast("int").alias("dir"))
     return route.route_endorheic(cells, _occurrence(spark, d).select("r", "c", "occ"), n, 20, 4)
+
+
+_ORDERED = f'{DOWN}, so AS (WITH RECURSIVE w AS (SELECT 1 AS k, id FROM flow UNION SELECT m.k + 1, down.pos FROM (SELECT w.k, f.next_id AS x FROM w JOIN flow f ON f.id = w.id WHERE f.next_id IS NOT NULL GROUP BY w.k, f.next_id HAVING count(*) > 1) m JOIN down ON down.id = m.x) SELECT * FROM w), od AS MATERIALIZED (SELECT id, max(k) AS o FROM so GROUP BY id HAVING max(k) > 1)'
+_LINED = f"{_ORDERED}, goes AS MATERIALIZED (SELECT f.id, f.next_id, a.o, coalesce(b.o = a.o, false) AS goes_on FROM flow f JOIN od a ON a.id = f.id LEFT JOIN od b ON b.id = f.next_id), ln AS (WITH RECURSIVE w AS (SELECT id AS line, o, id, 0 AS step, true AS own FROM goes WHERE id NOT IN (SELECT next_id FROM goes WHERE goes_on) UNION ALL SELECT w.line, w.o, g.next_id, w.step + 1, g.goes_on FROM w JOIN goes g ON g.id = w.id WHERE w.own AND g.next_id IS NOT NULL) SELECT * FROM w)"
+
+
+@query(f'WITH {_LINED} SELECT line, CAST(o AS INT) AS "order", i - 1 AS step, round(20 + (id % {WIDE} + 0.5) * 0.25, 6) AS x, round(50 - (id // {WIDE} + 0.5) * 0.25, 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY step) AS i, count(*) OVER (PARTITION BY line) AS n FROM ln) WHERE n > 1')
+def river_lines(spark, d):
+    """Rivers of the second order and more as lines with coordinates, each to the cell beyond its end."""
+    f, n = flow(spark, d), ncols(spark, d)
+    lines = fl.river_lines(f, materialize(fl.strahler(f).where(F.col("order") > 1), "orders"))
+    found = fl.line_strings(lines, n, 20.0, 50.0, 0.25)
+    return found.select("line", "order", F.posexplode("points").alias("step", "p")).select("line", "order", F.col("step").cast("long").alias("step"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query(f"WITH {ACC}, st AS (SELECT id FROM acc WHERE acc >= {STREAM}), up AS (SELECT f.next_id AS id, count(*) AS n FROM flow f JOIN st USING (id) WHERE f.next_id IS NOT NULL GROUP BY 1), ends AS MATERIALIZED (SELECT f.id FROM flow f JOIN st USING (id) LEFT JOIN up ON up.id = f.next_id WHERE f.next_id IS NULL OR up.n > 1 OR f.next_id NOT IN (SELECT id FROM st)), d AS (SELECT down.id, down.pos, down.step FROM down JOIN ends ON ends.id = down.pos) SELECT id, arg_min(pos, step) AS link FROM d GROUP BY id")
+def link_basins(spark, d):
+    """Basins of all stream links: each cell with the first end of a link on its way."""
+    f = flow(spark, d)
+    acc = materialize(fl.accumulate(f), "acc")
+    streams = materialize(f.join(acc.where(F.col("acc") >= STREAM).select("id"), "id", "left_semi"), "streams")
+    return fl.link_basins(f, streams).select("id", "link")
+
+
+_RINGS = f"{_LAB}, bd AS MATERIALIZED (SELECT dem.r, dem.c, dirs.dir, dirs.nr, dirs.nc FROM dem JOIN ({{}}) dirs USING (r, c)), rg AS (SELECT ring.label, row_number() OVER (PARTITION BY ring.label ORDER BY ring.r, ring.c) AS seq, ring.r, ring.c, ring.h, bd.dir, lab.label AS to_label FROM ring JOIN bd ON bd.r = ring.r AND bd.c = ring.c LEFT JOIN lab ON lab.r = bd.nr AND lab.c = bd.nc)"
+_D8_ALONE = "SELECT dem.r, dem.c, coalesce(1 << k, 0) AS dir, nr, nc FROM dem LEFT JOIN (SELECT r, c, k, nr, nc, row_number() OVER (PARTITION BY r, c ORDER BY (h - nh) / f DESC, k) AS i FROM near WHERE nh <= h) b ON b.r = dem.r AND b.c = dem.c AND b.i = 1"
+
+
+@query(f"WITH {_RINGS.format(_D8_ALONE)}, l AS (SELECT label, list({{'h': h, 'r': r, 'c': c, 'dir': dir, 'inside': coalesce(to_label = label, false), 'done': false}} ORDER BY seq) AS ring FROM rg GROUP BY label), o AS (SELECT label, list_reduce(list_prepend({{'h': CAST('inf' AS DOUBLE), 'r': -1, 'c': -1, 'dir': 0, 'inside': false, 'done': false}}, ring), lambda o, x: CASE WHEN o.done OR x.h >= o.h THEN o WHEN x.dir = 0 THEN {{'h': x.h, 'r': x.r, 'c': x.c, 'dir': x.dir, 'inside': x.inside, 'done': true}} WHEN x.inside THEN o ELSE x END) AS o FROM l) SELECT label, o.r AS r, o.c AS c, o.h AS h FROM o WHERE o.r >= 0")
+def outlet_scan(spark, d):
+    """Outlets of depressions as a scan of the ring finds them, the first cell without a direction ending it."""
+    lab = materialize(_labelled(spark, d), "lab")
+    dirs = focal.d8(dem(spark, d)).select("r", "c", F.col("dir").cast("int").alias("dir"))
+    to = materialize(dirs.select("r", "c", "dir", (F.col("r") + grid.row_step("dir")).alias("tr"), (F.col("c") + grid.column_step("dir")).alias("tc")), "ring")
+    ring = focal.boundary_ring(lab).join(to, ["r", "c"]).join(lab.select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("label").alias("to_label")), ["tr", "tc"], "left")
+    return zonal.outlet_scan(ring.withColumn("seq", F.struct("r", "c")))
+
+
+@query(f"WITH {_FWALK}, done AS (SELECT DISTINCT w.id FROM walk w JOIN flawed f ON f.id = w.pos WHERE f.next_id IS NULL) SELECT id, true AS arrives, true AS as_before FROM done UNION ALL SELECT id, true, NULL FROM flawed ANTI JOIN done USING (id)")
+def cycle_reversal(spark, d):
+    """Cycles led out of their basins by turning round the way from the nearest exit: whether each cell arrives at a terminal,
+    and whether what did so before is as it was."""
+    f, n = _flawed(spark, d), ncols(spark, d)
+    near = grid.neighbours(dem(spark, d).select("r", "c", grid.cell_id(n).alias("id")), "id")
+    near = near.select("id", F.posexplode(F.array(*(F.col(f"id_{k}") for k in range(8)))).alias("k", "to")).where("to is not null")
+    fixed = materialize(fl.reverse_cycles(f, near), "fixed")
+    bad = materialize(fl.cycle_cells(f).select("id"), "bad")
+    ends = fl.terminal_labels(fixed).select("id", F.col("label").isNotNull().alias("arrives"))
+    same = f.join(bad, "id", "left_anti").join(fixed.withColumnRenamed("next_id", "now"), "id").select("id", F.col("now").eqNullSafe(F.col("next_id")).alias("as_before"))
+    return ends.join(same, "id", "left")

@@ -9,7 +9,7 @@ from ..operators import algebra, catalog, metrics, vector
 from ..operators.flow import upstream
 from ..sources.tiles import pending
 from ..streaming.gauges import window_levels
-from .inputs import query, table
+from .inputs import DEM, dem, query, table
 
 _LON, _LAT = "(c_custkey * 37) % 360 - 180", "(c_custkey * 17) % 140 - 60"
 
@@ -211,10 +211,37 @@ def replace_processed(spark, d):
     return catalog.replace_processed(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v")), done, "p_partkey", "v")
 
 
-@query("SELECT c_nationkey AS grp, count(DISTINCT c_mktsegment) = 1 AS aligned, count(*) AS n FROM customer GROUP BY 1")
+_TILE = f"WITH {DEM}, t AS (SELECT c // 16 AS grp, r // (50 - 2 * (c // 16 % 2)) AS i, count(DISTINCT r) AS nrows, count(DISTINCT c) AS ncols, min(c) AS x0 FROM dem GROUP BY ALL)"
+
+
+@query(f"{_TILE} SELECT grp, count(DISTINCT (nrows, ncols, x0)) = 1 AS aligned, count(*) AS n FROM t GROUP BY grp")
 def alignment_check(spark, d):
-    m = table(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_mktsegment").alias("nrows"), *(F.lit(0).alias(c) for c in ("ncols", "x0", "y0", "dx", "dy")))
-    return catalog.same_grid(m)
+    """Whether the tiles of each column of tiles lie on one grid: rows and columns that they have, and where they begin."""
+    grp = F.floor(F.col("c") / 16)
+    t = dem(spark, d).groupBy(grp.alias("grp"), F.floor(F.col("r") / (50 - 2 * (grp % 2))).alias("i")).agg(F.count_distinct("r").alias("nrows"), F.count_distinct("c").alias("ncols"), F.min("c").alias("x0"))
+    return catalog.same_grid(t.select("grp", "nrows", "ncols", "x0", F.lit(0.0).alias("y0"), F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy")))
+
+
+@query(f"WITH {_ST}, e AS (SELECT region, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM st GROUP BY region), m AS (SELECT region, CASE WHEN s >= 0 THEN 'N' ELSE 'S' END AS ns, CASE WHEN w >= 0 THEN 'E' ELSE 'W' END AS ew, abs(s) AS s, abs(n) AS n, abs(w) AS w, abs(e) AS e FROM e) SELECT region, ns || lpad(CAST(s AS VARCHAR), 2, '0') || lpad(CAST(n AS VARCHAR), 2, '0') || ew || lpad(CAST(w AS VARCHAR), 3, '0') || lpad(CAST(e AS VARCHAR), 3, '0') AS name, CAST(CASE ew WHEN 'W' THEN -w ELSE w END AS INT) AS west, CAST(CASE ns WHEN 'S' THEN -s ELSE s END AS INT) AS south, CASE ew WHEN 'W' THEN -e ELSE e END + 1 - 0.00027777778::DOUBLE AS east, CASE ns WHEN 'S' THEN -n ELSE n END + 1 - 0.00027777778::DOUBLE AS north FROM m")
+def merged_name_roundtrip(spark, d):
+    """Names of the extents of regions, and the extents that they stand for."""
+    e = _stations(spark, d).groupBy("region").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
+    named = e.select("region", names.merged_name(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("name"))
+    return named.select("region", "name", names.merged_corners(F.col("name")).alias("x")).select("region", "name", "x.*")
+
+
+@query(f"WITH sc AS (SELECT least(est, base) / greatest(est, base) AS csi FROM ({_SC[_SC.index('(') + 1:_SC.rindex(')')]})) SELECT count(*) AS n, round(avg(csi), 6) AS mean, round(median(csi), 6) AS median, round(avg(CAST(csi >= 0.6 AS INT)), 6) AS at_60, round(avg(CAST(csi >= 0.8 AS INT)), 6) AS at_80 FROM sc WHERE csi IS NOT NULL")
+def score_shares(spark, d):
+    """Shares of basins whose score reaches marks."""
+    both = F.least("est", "base") / F.greatest("est", "base")
+    return metrics.score_shares(_scores(spark, d).select(both.alias("csi")), "csi")
+
+
+@query(f"WITH {_EXT} SELECT id, (x1 - x0) * (y1 - y0) AS area FROM e")
+def extents_by_area(spark, d):
+    """Extents from the smallest to the largest area."""
+    size = F.col("p_size").cast("double")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (size * size).alias("area")).orderBy("area", "id")
 
 
 @query(f"WITH {_ST}, p AS (SELECT s_suppkey AS site, CAST((s_suppkey * 53) % 360 - 180 AS DOUBLE) AS x, CAST((s_suppkey * 31) % 140 - 60 AS DOUBLE) AS y FROM supplier), t AS (SELECT id AS point, site, (st.lon - x) * (st.lon - x) + (st.lat - y) * (st.lat - y) AS d2 FROM st, p) SELECT point, site, d2 FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, site) AS i FROM t) WHERE i = 1")
