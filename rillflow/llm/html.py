@@ -3,8 +3,8 @@
 Every text node has a path of tags from the root. Per path, characters outside links and punctuation are added up and
 divided by the number of nodes; the two ratios are smoothed along the page's order of paths, fused by their product, and
 compared with a share of their mean. Text nodes of paths above it are content; the page's main block is the smallest
-element that covers nearly all of it (an article or main element needs to cover half). Of its other paths, those made of
-links go. Menus, adverts, forms, notices and comments, told by their element or class, take no part.
+element that covers nearly all of it (an article or main element needs to cover half). Of its blocks without content,
+those made of links go; what a block keeps, it keeps whole. Menus, adverts, forms, notices and comments, told by their element or class, take no part.
 
 One pass over the page, one over its elements: both linear in the page's length, however tags are left open.
 """
@@ -40,6 +40,9 @@ NOISE_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies complementary contentinfo search pagination pager widget widgets toolbar alert skip-link".split()
 )
 WITH_NOISE = frozenset("site page main global top bottom left right list item items link links button buttons bar box container wrapper wrap area section block slot posts form inner outer row column panel message icons media primary secondary skip to up 1 2 3".split())
+#: Words that tell it at either end of a name, and words that say the contrary.
+PLAIN_NOISE = frozenset("ad ads advert adverts advertisement advertisements banner comment comments commentlist cookie cookies consent disqus login newsletter promo promos related signup sponsor sponsored subscribe subscription".split())
+CONTRARY = frozenset("no not without with has content article articlebody entry story main".split())
 #: What closes an open <p>.
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 #: Elements that end an open one of their kind, by kind; and those inside which a kind starts anew.
@@ -72,11 +75,14 @@ class Node:
 
 
 def noisy_name(word: str) -> bool:
-    """Whether a word of a class names what is no content: by itself, or in parts which all say so or go with it."""
+    """Whether a word of a class names what is no content: by itself, in parts which all say so or go with it, or in parts of
+    which the first or the last is plain enough (comment-body, reader-comments) and none says the contrary."""
     if word in NOISE_WORDS:
         return True
     parts = re.split("[-_]", word)
-    return len(parts) > 1 and any(p in NOISE_WORDS for p in parts) and all(p in NOISE_WORDS or p in WITH_NOISE for p in parts)
+    if len(parts) < 2 or not CONTRARY.isdisjoint(parts):
+        return False
+    return parts[0] in PLAIN_NOISE or parts[-1] in PLAIN_NOISE or (any(p in NOISE_WORDS for p in parts) and all(p in NOISE_WORDS or p in WITH_NOISE for p in parts))
 
 
 def noise_of(tag: str, attributes: str, in_article: bool) -> int:
@@ -217,13 +223,13 @@ def main_text(page: str | None) -> str:
         return ""
     level = THRESHOLD * sum(fused.values()) / len(fused)
     chosen = {p for p, x in fused.items() if x >= level}
-    content, links, sizes = [0] * len(nodes), Counter(), Counter()
-    for n, _, t in texts:
-        size = solid(t)
-        sizes[n.path] += size
-        links[n.path] += size if n.link else 0
+    content, linked, kept = [0] * len(nodes), set(), set()
+    for n, b, t in texts:
         if n.path in chosen:
-            content[n.number] += size
+            content[n.number] += solid(t)
+        # A block with links stays for words of a chosen path, or outside of links.
+        if any(map(str.isalnum, t)):
+            (kept if n.path in chosen or not n.link else linked).add(b)
     for n in reversed(nodes[1:]):
         content[n.parent.number] += content[n.number]
     total = content[0]
@@ -234,7 +240,7 @@ def main_text(page: str | None) -> str:
             best = n
     blocks: dict[int, list[str]] = {}
     for n, b, t in texts:
-        if best.number <= n.number <= last[best.number] and (n.path in chosen or 2 * links[n.path] <= sizes[n.path]):
+        if best.number <= n.number <= last[best.number] and (b in kept or b not in linked):
             blocks.setdefault(b, []).append(t)
     return "\n".join(x for b in blocks.values() if (x := SPACE.sub(" ", "".join(b)).strip()))
 

@@ -54,7 +54,7 @@ def test_classes_of_the_article_itself(name):
 
 def test_noisy_names():
     assert all(map(noisy_name, ["ad", "site-footer", "cookie-banner", "comment-list", "nav_menu", "skip-link", "related-posts"]))
-    assert not any(map(noisy_name, ["content", "no-sidebar", "with-sidebar", "social-sciences", "search-results", "post-header-content", "adult", "headers"]))
+    assert not any(map(noisy_name, ["content", "no-sidebar", "with-sidebar", "social-sciences", "search-results", "post-header-content", "adult", "headers", "content-with-ads", "no-comments", "comment-on-article", "load-more"]))
 
 
 def test_header_of_an_article():
@@ -77,6 +77,16 @@ def test_lists_of_links_go():
     assert main_text(page(f"<div class=page><ul>{links}</ul>{BODY}<p>See <a href=/x>this</a>.</p></div>")) == WHOLE + "\nSee this."
 
 
+def test_links_in_a_sentence_stay():
+    rare = "<p>See also <b><a>the report</a></b> and <em><a>the answer</a></em>.</p><p><i>By <a>Jane Roe</a></i></p><p><a>One</a> | <a>two</a></p>"
+    assert main_text(page(f"<article>{BODY}{rare}</article>")) == WHOLE + "\nSee also the report and the answer.\nBy Jane Roe"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "comment-body", "comment_text", "advert-text", "ad-unit", "related-articles", "newsletter-text", "promo-text", "login-prompt"])
+def test_comments_and_adverts_in_an_article_go(name):
+    assert main_text(page(f"<article>{BODY}<div class='{name}'><p>{LONG * 3}</p></div></article>")) == WHOLE
+
+
 def test_nested_noise_stays_out_of_a_lifted_class():
     assert main_text(page(f"<div class=sidebar><div class=ad>Buy, now.</div>{BODY}<nav>n</nav></div>")) == WHOLE
 
