@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import label_mask
-from .flood import around, flood_directions, route_floods, with_rims  # noqa: F401
+from .flood import INFINITY, around, filled_levels, flood_directions, route_floods, with_rims  # noqa: F401
 from .flow import break_cycles, cycle_regions, terminal_labels
 from .focal import boundary_ring, d8, flow_edges
 from .grid import STEPS, cell_id, neighbours
 from .zonal import water_bodies
 
-INFINITY = float("inf")
-
 
 def level_directions(cells: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple[int, int], int]:
     """Direction codes along a breadth-first tree from start."""
@@ -78,9 +76,12 @@ def fill(cells: DataFrame, edge: int = 64, rise: float = 0.0, start: str | None
     With a rise, each step away from the border adds it to the level, so that no flat is left. With start, a boolean
     column, water leaves at the cells where it is true instead of the border; cells cut off from them have f = infinity.
 
-    Tiles are flooded each by itself from the levels known around them, until no level changes: the number of rounds is
-    that of tiles along the longest spill path, and tiles without news rest. A tile and the ring around it are one task.
+    Without a rise the levels come from the spill graph (filled_levels). With one, tiles are flooded each by itself from the
+    levels known around them, until no level changes: the number of rounds is that of tiles along the longest spill path,
+    and tiles without news rest. A tile and the ring around it are one task.
     """
+    if not rise and not start:
+        return filled_levels(cells, edge)
     if start:
         n, rim = cells.where("h is not null"), F.coalesce(F.col(start), F.lit(False))
     else:
