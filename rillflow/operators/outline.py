@@ -24,7 +24,11 @@ def outlines(regions: DataFrame, ncols: int) -> DataFrame:
     for d, (k, r, c) in enumerate(((6, 0, 0), (0, 0, 1), (2, 1, 1), (4, 1, 0))):
         open_ = ~F.col(f"label_{k}").eqNullSafe(F.col("label"))
         sides.append(F.when(open_, F.struct(F.lit(d).alias("d"), (F.col("c") + c).cast("long").alias("x"), (F.col("r") + r).cast("long").alias("y"))))
-    e = n.select("label", F.explode(F.array_compact(F.array(*sides))).alias("e")).select("label", "e.*")
+    return _traced(n.select("label", F.explode(F.array_compact(F.array(*sides))).alias("e")).select("label", "e.*"), ncols)
+
+
+def _traced(e: DataFrame, ncols: int) -> DataFrame:
+    """Rings of edges (label, d, x, y) of unit length: label, ring, step, x, y, d."""
     edge = lambda d, x, y: (y * (ncols + 1) + x) * 4 + d
     # Two regions may share an edge, in opposite directions: the number tells them apart.
     e = materialize(e.withColumn("id", edge(F.col("d"), F.col("x"), F.col("y"))), "outline")
@@ -44,6 +48,39 @@ def signed_area(x: str = "x", y: str = "y", d: str = "d") -> Column:
     return F.when(F.col(d) == 1, F.col(x)).when(F.col(d) == 3, -F.col(x)).otherwise(0)
 
 
+def dissolve_outlines(edges: DataFrame, groups: DataFrame, ncols: int) -> DataFrame:
+    """Rings around the union of polygons: label, ring, step, x, y, d, the label being the group's.
+
+    edges is label, d, x, y as of outlines, groups is label, group. Polygons of a group may share edges but not overlap; an
+    edge that two of them share goes in both directions and cancels. Labels without a group are left out.
+    """
+    back = F.col("d") > 1
+    # The same place for both directions: its left or upper end, and whether it runs along a row.
+    x, y = F.col("x") - F.when(F.col("d") == 2, 1).otherwise(0), F.col("y") - F.when(F.col("d") == 3, 1).otherwise(0)
+    own = edges.join(groups.select("label", "group"), "label").select("group", x.alias("px"), y.alias("py"), (F.col("d") % 2).alias("o"), F.when(back, -1).otherwise(1).alias("way"))
+    left = own.groupBy("group", "px", "py", "o").agg(F.sum("way").alias("way")).where("way != 0")
+    d = (F.col("o") + F.when(F.col("way") < 0, 2).otherwise(0)).cast("int")
+    x, y = F.col("px") + F.when(d == 2, 1).otherwise(0), F.col("py") + F.when(d == 3, 1).otherwise(0)
+    return _traced(left.select(F.col("group").alias("label"), d.alias("d"), x.alias("x"), y.alias("y")), ncols)
+
+
+def shells(rings: DataFrame) -> DataFrame:
+    """Polygons of rings (label, ring, x, y, d): label, ring, shell, area, first_x, first_y.
+
+    Rings of positive area are shells, their own. A hole belongs to the smallest shell of its label around it: the one that a
+    line to the right from the cell below its first upper edge crosses an odd number of times. That line meets only edges
+    of its own row, which is what they are joined by. first is the cell below the first upper edge, for shells their first cell in scan order.
+    """
+    own = materialize(rings.groupBy("label", "ring").agg(F.sum(signed_area()).alias("area"), F.min(F.when(F.col("d") == 0, F.struct("y", "x"))).alias("m")), "shells")
+    own = own.select("label", "ring", "area", F.col("m.x").alias("first_x"), F.col("m.y").alias("first_y"))
+    row = F.col("y") - F.when(F.col("d") == 3, 1).otherwise(0)
+    sides = rings.where("d = 1 or d = 3").join(own.where("area > 0").select("label", "ring", F.col("area").alias("around")), ["label", "ring"]).select("label", F.col("ring").alias("shell"), "around", row.alias("first_y"), "x")
+    met = own.where("area < 0").join(sides, ["label", "first_y"]).where(F.col("x") > F.col("first_x"))
+    inside = met.groupBy("label", "ring", "shell", "around").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    held = inside.groupBy("label", "ring").agg(F.min_by("shell", F.struct("around", "shell")).alias("shell"))
+    return own.join(held, ["label", "ring"], "left").select("label", "ring", F.coalesce("shell", F.when(F.col("area") > 0, F.col("ring"))).alias("shell"), "area", "first_x", "first_y")
+
+
 def dissolve(cells: DataFrame, group: str, cell_km2: float) -> DataFrame:
     """Cells (group, id) as one region a group: distinct cells and their area."""
     return cells.select(group, "id").distinct().groupBy(group).agg(F.count("*").alias("cells"), F.round(F.count("*") * cell_km2, 9).alias("area_km2"))

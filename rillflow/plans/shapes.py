@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import flow as fl
 from ..operators import outline
-from .inputs import DOWN, FLOW, WIDE, dem, flow, ncols, query, table, water
+from ..storage import materialize
+from .inputs import DEM, DOWN, FLOW, WIDE, dem, flow, ncols, query, table, water
 from .terrain import _LAB, _labelled
 
 
@@ -51,3 +52,19 @@ def dam_flattening(spark, d):
     at = F.col("s_suppkey") * 37 % all_
     dams = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dam"), F.floor(at / n).alias("r"), (at % n).alias("c"))
     return outline.flatten_dams(dem(spark, d), water(spark, d), dams)
+
+
+_UNION = f"{DEM}, lc AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, r // 100 AS grp FROM dem WHERE h > -0.1), le AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM lc a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc), lc b WHERE b.r = a.r + dr AND b.c = a.c + dc AND b.grp = a.grp), uc AS MATERIALIZED (WITH RECURSIVE l(id, label) USING KEY (id) AS (SELECT id, id FROM lc UNION SELECT le.b, min(l.label) FROM l JOIN le ON le.a = l.id LEFT JOIN recurring.l o ON o.id = le.b WHERE o.label IS NULL OR l.label < o.label GROUP BY le.b) SELECT * FROM l)"
+
+
+@query(f"WITH {_UNION}, f AS (SELECT id, min(label) AS label FROM uc GROUP BY id) SELECT lc.grp, f.label AS first, count(*) AS area FROM f JOIN lc USING (id) GROUP BY ALL")
+def dissolved_outlines(spark, d):
+    """Polygons of high ground by blocks of cells, united over bands of blocks by their edges: each shell without its holes."""
+    n = ncols(spark, d)
+    block = F.floor(F.col("r") / 10) * 10 + F.floor(F.col("c") / 16)
+    high = materialize(dem(spark, d).where("h > -0.1").select(block.alias("label"), "r", "c"), "union")
+    groups = high.select("label", F.floor(F.col("label") / 100).alias("group")).distinct()
+    rings = materialize(outline.dissolve_outlines(outline.outlines(high, n), groups, n), "union")
+    parts = outline.shells(rings)
+    net = parts.groupBy("label", "shell").agg(F.sum("area").alias("area"), F.max(F.when(F.col("ring") == F.col("shell"), F.col("first_y") * n + F.col("first_x"))).alias("first"))
+    return net.select(F.col("label").alias("grp"), "first", F.col("area").cast("long").alias("area"))

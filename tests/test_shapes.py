@@ -56,3 +56,17 @@ def test_dams_in_their_order(spark):
         3,
     )
     assert {(r["r"], r["c"]): r["h"] for r in out.collect()} == brute_dams(h, wet, dams, 3)
+
+
+def test_polygons_become_one_with_holes_and_an_island(spark):
+    # Two halves of a frame around a frame around a cell, and a piece that touches at a corner only.
+    cells = {(r, c): 1 if c < 4 else 2 for r in range(9) for c in range(9) if max(abs(r - 4), abs(c - 4)) != 3}
+    cells = {x: v for x, v in cells.items() if max(abs(x[0] - 4), abs(x[1] - 4)) != 1} | {(9, 9): 3, (20, 20): 9}
+    frame = spark.createDataFrame([(v, *x) for x, v in cells.items()], "label long, r long, c long")
+    groups = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (9, None), (50, 7)], "label long, group long").where("group is not null")
+    rings = outline.dissolve_outlines(outline.outlines(frame, 30), groups, 30)
+    parts = {r["ring"]: r for r in outline.shells(rings).collect()}
+    found = sorted((r["area"], parts[r["shell"]]["area"], r["first_x"], r["first_y"]) for r in parts.values())
+    # Outer frame 81 with a hole of 49, inner frame 25 with a hole of 9, the middle cell, and the one at the corner.
+    assert found == [(-49, 81, 1, 8), (-9, 25, 3, 6), (1, 1, 4, 4), (1, 1, 9, 9), (25, 25, 2, 2), (81, 81, 0, 0)]
+    assert all(r["label"] == 7 for r in parts.values())
