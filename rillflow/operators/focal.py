@@ -116,6 +116,18 @@ def steepest_exit(labels: DataFrame) -> DataFrame:
     return best.select("label", (-F.col("w.nr")).alias("r"), (-F.col("w.nc")).alias("c"), _code(-F.col("w.nk")).alias("dir"), "w.slope")
 
 
+def pit_exits(basins: DataFrame) -> DataFrame:
+    """Where basins (r, c, label, f) are left over their filled surface: label, r, c, dir.
+
+    Of the cells with a neighbour outside, the lowest by f (then first in scan order), towards its first such neighbour.
+    Cells without a label are outside; a basin that has nothing around it is left out.
+    """
+    n = neighbours(basins.select("r", "c", "label", "f"), "label", "f").where("label is not null and f is not null")
+    out = F.array_compact(F.array(*(F.when(F.col(f"f_{k}").isNotNull() & ~F.col(f"label_{k}").eqNullSafe(F.col("label")), F.lit(k)) for k in range(8))))
+    best = n.withColumn("k", F.get(out, F.lit(0))).where("k is not null").groupBy("label").agg(F.min(F.struct("f", "r", "c", "k")).alias("m"))
+    return best.select("label", F.col("m.r").alias("r"), F.col("m.c").alias("c"), _code(F.col("m.k")).alias("dir"))
+
+
 def lowest_resolved(cells: DataFrame) -> DataFrame:
     """For cells without a direction (r, c, h, dir): towards the lowest neighbour that has one, the last of equal ones."""
     n = neighbours(cells, "h", "dir").where("dir is null and h is not null")

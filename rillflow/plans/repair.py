@@ -248,3 +248,21 @@ def cycle_reversal(spark, d):
     ends = fl.terminal_labels(fixed).select("id", F.col("label").isNotNull().alias("arrives"))
     same = f.join(bad, "id", "left_anti").join(fixed.withColumnRenamed("next_id", "now"), "id").select("id", F.col("now").eqNullSafe(F.col("next_id")).alias("as_before"))
     return ends.join(same, "id", "left")
+
+
+@query(f"WITH {DOWN}, {_FILLED.replace(NEAR + ', ', '')}, bs AS MATERIALIZED (SELECT down.id, down.pos AS label FROM down JOIN flow f ON f.id = down.pos WHERE f.next_id IS NULL), nb AS MATERIALIZED (SELECT r * {WIDE} + c AS id, nr * {WIDE} + nc AS nid, k FROM near), fd AS MATERIALIZED (SELECT r * {WIDE} + c AS id, r, c, f FROM filled), lk AS MATERIALIZED (SELECT nb.id, a.label, min(nb.k) AS k FROM nb JOIN bs a ON a.id = nb.id JOIN bs b ON b.id = nb.nid WHERE a.label <> b.label GROUP BY ALL), x AS (SELECT lk.label, fd.r, fd.c, fd.f, lk.k FROM lk JOIN fd USING (id)) SELECT label, r, c, CAST(1 << k AS INT) AS dir FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f, r, c) AS i FROM x) WHERE i = 1")
+def pit_exits(spark, d):
+    """Where the basin of each pit is left over the filled surface."""
+    n = ncols(spark, d)
+    basins = fl.terminal_labels(flow(spark, d)).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("c"), "label")
+    f = route.fill(dem(spark, d)).select("r", "c", "f")
+    return focal.pit_exits(materialize(basins.join(f, ["r", "c"]), "pits")).withColumn("dir", F.col("dir").cast("int"))
+
+
+@query(f"WITH {_ORDERED} SELECT dem.r, string_agg(CAST(coalesce(od.o, 0) AS VARCHAR), ',' ORDER BY dem.c) AS orders FROM dem LEFT JOIN od ON od.id = dem.r * {WIDE} + dem.c GROUP BY dem.r")
+def order_raster(spark, d):
+    """Orders of the second and more as rows of a raster, 0 elsewhere."""
+    n = ncols(spark, d)
+    orders = fl.strahler(flow(spark, d)).where(F.col("order") > 1)
+    cells = dem(spark, d).withColumn("id", grid.cell_id(n)).join(orders, "id", "left").select("r", "c", F.coalesce("order", F.lit(0)).alias("o"))
+    return grid.arrays_from_cells(cells, "o").select("r", F.array_join(F.col("values").cast("array<string>"), ",").alias("orders"))
