@@ -44,6 +44,21 @@ def label_equal(cells: DataFrame, value: str, ncols: int) -> DataFrame:
     return own.join(labels, "id").select("r", "c", value, "label")
 
 
+def spanning_parts(regions: DataFrame, ncols: int) -> DataFrame:
+    """The cells of regions (r, c, label) in that connected part which reaches all four sides of its region's box: r, c, label.
+
+    A region has one such part at most, since a way from left to right meets each one from top to bottom. A region without
+    one, as several small pieces apart, is left out; so are cells without a label.
+    """
+    own = regions.select("r", "c", F.col("label").alias("region"))
+    parts = materialize(label_equal(own, "region", ncols), "parts")
+    sides = [F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")]
+    box = materialize(parts.groupBy("region", "label").agg(*sides), "boxes")
+    whole = box.groupBy("region").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    spans = box.join(whole, ["region", "r0", "r1", "c0", "c1"]).select("region", "label")
+    return parts.join(spans, ["region", "label"], "left_semi").select("r", "c", F.col("region").alias("label"))
+
+
 def edge_runs(cells: DataFrame, condition, least: int) -> DataFrame:
     """Runs of at least so many cells along each raster edge that meet a condition: edge, first, last, n."""
     size = cells.agg(F.max("r").alias("nr"), F.max("c").alias("nc"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .grid import cell_id, with_tile
+from .components import label_mask
+from .grid import cell_id, column_step, row_step, with_tile
 
 
 def _rounds(flow: DataFrame) -> int:
@@ -52,6 +53,21 @@ def terminal_labels(flow: DataFrame, outlets: DataFrame | None = None) -> DataFr
     return state.select("id", F.when(F.col("done"), F.col("label")).alias("label"))
 
 
+def initial_basins(directions: DataFrame, ncols: int) -> DataFrame:
+    """r, c, label of a raster of directions (r, c, dir): the terminals that touch are one, labelled by their smallest id, and
+    a cell has the label of the terminals that it flows to.
+
+    Cells that leave the raster, or flow into a null direction or a cycle, have a null label; null directions have no row.
+    """
+    own = materialize(directions.where("dir is not null").select(cell_id(ncols).alias("id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("dir").cast("int").alias("dir")), "initial")
+    to = own.where("dir > 0").select("id", (F.col("r") + row_step("dir")).alias("r"), (F.col("c") + column_step("dir")).alias("c"))
+    inside = to.join(own.select("r", "c", F.col("id").alias("next_id")), ["r", "c"]).select("id", "next_id")
+    ends = terminal_labels(materialize(own.select("id").join(inside, "id", "left"), "initial"))
+    touching = materialize(label_mask(own.where("dir = 0"), ncols).select(F.col("id").alias("label"), F.col("label").alias("basin")), "initial")
+    found = ends.join(touching, "label", "left").select("id", "basin")
+    return own.join(found, "id").select("r", "c", F.col("basin").alias("label"))
+
+
 def cycle_cells(flow: DataFrame) -> DataFrame:
     """id, on_cycle of all cells that never reach a terminal: those in a cycle, and those above one."""
     state = materialize(flow.select("id", F.col("next_id").alias("p")).where("p is not null"), "cycle")

@@ -141,6 +141,35 @@ def resample_nearest(cells: DataFrame, factor: int) -> DataFrame:
     return cells.where((F.col("r") % factor == half) & (F.col("c") % factor == half)).select(((F.col("r") - half) / factor).cast("int").alias("r"), ((F.col("c") - half) / factor).cast("int").alias("c"), "h")
 
 
+def preview_size(nrows: int, ncols: int, most: int = 1024) -> tuple[int, int]:
+    """Rows and columns of a preview whose longer side has at most so many cells; small rasters are enlarged."""
+    scale = min(most / ncols, most / nrows)
+    return max(1, int(nrows * scale)), max(1, int(ncols * scale))
+
+
+def preview(cells: DataFrame, nrows: int, ncols: int, rows: int, cols: int) -> DataFrame:
+    """A raster of nrows by ncols cells (r, c, h) as one of rows by cols: r, c, h.
+
+    Bilinear: a cell's weight falls linearly with the distance of its centre from the new cell's, to 0 at the width of a
+    new cell (of an old one, where the raster is enlarged). Null cells have no weight; a new cell without any is left out.
+    Each old cell is sent to the few new cells that see it, and sums combine before the exchange, so that no more than the
+    preview of each partition is shuffled.
+    """
+
+    def weights(axis: str, n: int, out: int) -> Column:
+        step = n / out
+        reach, at = max(step, 1.0), F.col(axis) + 0.5
+        first, last = F.ceil((at - reach) / step - 0.5), F.floor((at + reach) / step - 0.5)
+        near = F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(out - 1)))
+        near = F.transform(near, lambda i: F.struct(i.alias("i"), (1 - F.abs(at - (i + 0.5) * step) / reach).alias("w")))
+        return F.filter(near, lambda x: x["w"] > 0)
+
+    sent = cells.where("h is not null").select("h", "c", F.explode(weights("r", nrows, rows)).alias("y")).select("h", "y", F.explode(weights("c", ncols, cols)).alias("x"))
+    w = F.col("y.w") * F.col("x.w")
+    sums = sent.groupBy(F.col("y.i").alias("r"), F.col("x.i").alias("c")).agg(F.sum(w * F.col("h")).alias("s"), F.sum(w).alias("w"))
+    return sums.select("r", "c", (F.col("s") / F.col("w")).alias("h"))
+
+
 def resample_bilinear(cells: DataFrame, up: int) -> DataFrame:
     """A grid up times as fine, between cell corners: weighted means of the four cells around."""
     n = neighbours(cells, "h").where("h is not null")

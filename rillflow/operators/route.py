@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .components import label_mask
+from .components import label_mask, spanning_parts
 from .flood import INFINITY, around, filled_levels, flood_directions, route_floods, with_rims  # noqa: F401
 from .flow import break_cycles, cycle_regions, terminal_labels
 from .focal import boundary_ring, d8, flow_edges
@@ -137,12 +137,16 @@ def correct_depressions(cells: DataFrame, geometry: DataFrame) -> DataFrame:
 def route_endorheic(cells: DataFrame, occurrence: DataFrame, ncols: int, least_mean: float = 50, least_cells: int = 1111, rise: float = 1e-5) -> DataFrame:
     """Directions label, r, c, dir inside endorheic depressions (label, r, c, h, dir) that do not touch each other.
 
+    Of a depression in several pieces, the one that reaches all sides of the depression's box is routed (spanning_parts);
+    the other cells get a null direction.
+
     A depression with one water body at most (components of the occurrence, r, c, occ, that are large enough) is flooded
     from its lowest cell. With more, the basins that a body touches are flooded together from their lowest cell, the body
     of the largest label winning shared cells; what no body touches drains over its lowest passes into what is routed so,
     on a surface filled from there. Lowest cells become terminals (0).
     """
-    own = materialize(cells.select("label", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "h", cell_id(ncols).alias("id"), "dir"), "endo")
+    given = materialize(cells.select("label", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "h", cell_id(ncols).alias("id"), "dir"), "endo")
+    own = materialize(given.join(spanning_parts(given, ncols), ["label", "r", "c"], "left_semi"), "endo")
     inside = flow_edges(own, ncols)
     inside = inside.join(own.select(F.col("id").alias("next_id"), F.lit(True).alias("in")), "next_id", "left").select("id", F.when(F.col("in"), F.col("next_id")).alias("next_id"))
     # Level cells may point to each other: such basins end at their lowest cell.
@@ -163,8 +167,9 @@ def route_endorheic(cells: DataFrame, occurrence: DataFrame, ncols: int, least_m
     first = materialize(own.join(won, ["label", "r", "c"], "left").select("label", "r", "c", "h", "id", "new"), "endo")
     rest = first.join(many, "label", "left_semi")
     open_ = rest.where("new is null")
+    every = given.select("label", "r", "c")
     if open_.isEmpty():
-        return first.select("label", "r", "c", F.col("new").alias("dir"))
+        return every.join(first.select("label", "r", "c", F.col("new").alias("dir")), ["label", "r", "c"], "left")
     near = neighbours(first.select("r", "c", F.when(F.col("new").isNotNull(), F.col("h")).alias("g")), "g")
     exits = F.array(*(F.when(F.col(f"g_{k}").isNotNull(), F.struct(F.col(f"g_{k}").alias("g"), F.lit(-k).alias("nk"))) for k in range(8)))
     way = near.select("r", "c", F.array_min(exits).alias("way"))
@@ -174,7 +179,8 @@ def route_endorheic(cells: DataFrame, occurrence: DataFrame, ncols: int, least_m
     down = d8(level.select("r", "c", F.col("f").alias("h"))).select("r", "c", F.col("dir").cast("int").alias("down"))
     code = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), -F.col("way.nk") + 1)
     later = gate.join(down, ["r", "c"]).select("label", "r", "c", F.when(F.col("start"), code).otherwise(F.col("down")).alias("later"))
-    return first.join(later, ["label", "r", "c"], "left").select("label", "r", "c", F.coalesce("new", "later", F.lit(0)).alias("dir"))
+    routed = first.join(later, ["label", "r", "c"], "left").select("label", "r", "c", F.coalesce("new", "later", F.lit(0)).alias("dir"))
+    return every.join(routed, ["label", "r", "c"], "left")
 
 
 def reroute_cycles(cells: DataFrame, ncols: int, most: int = 50) -> DataFrame:

@@ -190,6 +190,16 @@ def exorheic_correction(spark, d):
     return route.correct_depressions(focal.d8(dem(spark, d)).join(lab.select("r", "c", "label"), ["r", "c"]), g)
 
 
+_PARTS = f"WITH {NEAR}, m AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, r // 25 * 100 + c // 16 AS label FROM dem WHERE h < 0.02), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM near JOIN m a ON a.r = near.r AND a.c = near.c JOIN m b ON b.r = near.nr AND b.c = near.nc WHERE a.label = b.label), w AS (WITH RECURSIVE w AS (SELECT id, id AS pos FROM m UNION SELECT w.id, b FROM w JOIN e ON e.a = w.pos) SELECT * FROM w), p AS MATERIALIZED (SELECT m.*, part FROM m JOIN (SELECT id, min(pos) AS part FROM w GROUP BY id) USING (id)), x AS (SELECT *, min(r) OVER s AS r0, max(r) OVER s AS r1, min(c) OVER s AS c0, max(c) OVER s AS c1, min(r) OVER l AS lr0, max(r) OVER l AS lr1, min(c) OVER l AS lc0, max(c) OVER l AS lc1 FROM p WINDOW s AS (PARTITION BY label, part), l AS (PARTITION BY label))"
+
+
+@query(f"{_PARTS} SELECT label, r, c FROM x WHERE r0 = lr0 AND r1 = lr1 AND c0 = lc0 AND c1 = lc1")
+def spanning_parts(spark, d):
+    """Low ground of each tile that hangs together from side to side of its box."""
+    low = dem(spark, d).where("h < 0.02").select("r", "c", (F.floor(F.col("r") / 25) * 100 + F.floor(F.col("c") / 16)).alias("label"))
+    return components.spanning_parts(low, ncols(spark, d)).select("label", "r", "c")
+
+
 @query()
 def endorheic_routing(spark, d):
     """Connected low ground routed inside itself, towards its water bodies where it has several."""

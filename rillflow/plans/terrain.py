@@ -35,6 +35,17 @@ def grid_pyramid(spark, d):
     return grid.pyramid(dem(spark, d), 8)
 
 
+_AXIS = "(SELECT x, i, 1 - abs(x + 0.5::DOUBLE - (i + 0.5::DOUBLE) * q) / greatest(q, 1) AS w FROM (SELECT *, {n}::DOUBLE / {o} AS q, unnest(range({n})) AS x FROM size) s, (SELECT unnest(range({o})) AS i FROM size) t WHERE w > 0)"
+_PREVIEW = f"WITH {DEM}, size AS MATERIALIZED (SELECT nr, nc, greatest(1, CAST(floor(nr * s) AS BIGINT)) AS onr, greatest(1, CAST(floor(nc * s) AS BIGINT)) AS onc FROM (SELECT nr, nc, least(256::DOUBLE / nr, 256::DOUBLE / nc) AS s FROM (SELECT max(r) + 1 AS nr, max(c) + 1 AS nc FROM dem))), wr AS MATERIALIZED {_AXIS.format(n='nr', o='onr')}, wc AS MATERIALIZED {_AXIS.format(n='nc', o='onc')}, across AS MATERIALIZED (SELECT dem.r, wc.i AS c, sum(wc.w * h) AS s, sum(wc.w) AS w FROM dem JOIN wc ON wc.x = dem.c WHERE h IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"{_PREVIEW} SELECT wr.i AS r, a.c, round(sum(wr.w * a.s) / sum(wr.w * a.w), 6) AS h FROM across a JOIN wr ON wr.x = a.r GROUP BY ALL")
+def bilinear_preview(spark, d):
+    """The whole raster at 256 cells a side at most."""
+    rows, cols = nrows(spark, d), ncols(spark, d)
+    return focal.preview(dem(spark, d), rows, cols, *focal.preview_size(rows, cols, 256)).select("r", "c", F.round("h", 6).alias("h"))
+
+
 @query(f"WITH {DEM} SELECT r - 100 AS r, c - 20 AS c, h FROM dem WHERE r BETWEEN 100 AND 140 AND c BETWEEN 20 AND 40")
 def window_crop(spark, d):
     return grid.window(dem(spark, d), 100, 140, 20, 40)
@@ -255,6 +266,16 @@ def basin_labels(spark, d):
     return fl.terminal_labels(flow(spark, d))
 
 
+_INITIAL = f"WITH {DIRS}, fd AS MATERIALIZED (SELECT r, c, r * {WIDE} + c AS id, CASE WHEN h >= -0.12 THEN nr * {WIDE} + nc END AS next_id FROM dirs WHERE h < -0.02 OR h >= -0.01), ends AS MATERIALIZED (SELECT id FROM fd WHERE next_id IS NULL), te AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM near JOIN ends a ON a.id = near.r * {WIDE} + near.c JOIN ends b ON b.id = near.nr * {WIDE} + near.nc), rc AS (WITH RECURSIVE w AS (SELECT id, id AS pos FROM ends UNION SELECT w.id, b FROM w JOIN te ON te.a = w.pos) SELECT * FROM w), cp AS MATERIALIZED (SELECT id, min(pos) AS label FROM rc GROUP BY id), dn AS MATERIALIZED (WITH RECURSIVE w AS (SELECT id, id AS pos FROM fd UNION ALL SELECT w.id, t.id FROM w JOIN fd f ON f.id = w.pos JOIN fd t ON t.id = f.next_id) SELECT * FROM w)"
+
+
+@query(f"{_INITIAL} SELECT fd.r, fd.c, x.label FROM fd LEFT JOIN (SELECT dn.id, cp.label FROM dn JOIN cp ON cp.id = dn.pos) x USING (id)")
+def initial_basins(spark, d):
+    """Basins of connected terminals: low ground takes what flows to it; a band of heights has no direction."""
+    dirs = focal.d8(dem(spark, d)).where("h < -0.02 or h >= -0.01").select("r", "c", F.when(F.col("h") < -0.12, 0).otherwise(F.col("dir")).alias("dir"))
+    return fl.initial_basins(dirs, ncols(spark, d))
+
+
 @query(f"WITH {DOWN}, t AS (SELECT down.id, pos, step FROM down JOIN flow f ON f.id = down.pos WHERE f.next_id IS NULL OR pos % 29 = 0) SELECT id, arg_min(pos, step) AS label FROM t GROUP BY id")
 def incremental_basins(spark, d):
     f = flow(spark, d)
