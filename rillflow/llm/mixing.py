@@ -2,7 +2,7 @@
 
 A source's documents fall into blocks by hash. Blocks are drawn in permuted order, whole, until the source's target is
 met; only the block in which it is met is divided, at a document. The drawn blocks (with repeats) of all sources are then
-split among output shards by a tree: at every node the blocks of each source that go to the left half are one draw of a
+split among output shards, 64 or more, by a tree: at every node the blocks of each source that go to the left half are one draw of a
 multivariate hypergeometric distribution, so that each shard has a fair and exact quota; blocks are dealt to quotas in
 permuted order, and documents are shuffled inside their shard.
 """
@@ -10,6 +10,7 @@ permuted order, and documents are shuffled inside their shard.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,10 @@ from .common import materialize, read, word_count
 
 #: Weights of the sources in order of their names, repeating; most times that a source, or a document, is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents in a block on average, words of a shard, most shards (larger ones beyond), blocks and sources that may be
+#: Documents in a block on average at most, blocks of all documents at least (where there are as many), words of a shard at
+#: most, shards at least, branches of the tree that the driver splits (tasks split those), decisions and sources that may be
 #: broadcast.
-BLOCK_DOCS, SHARD_WORDS, MOST_SHARDS, BROADCAST_BLOCKS, BROADCAST_SOURCES = 1024, 20_000_000, 32_768, 1_000_000, 100_000
+BLOCK_DOCS, LEAST_BLOCKS, SHARD_WORDS, LEAST_SHARDS, BRANCHES, BROADCAST_BLOCKS, BROADCAST_SOURCES = 1024, 1024, 20_000_000, 64, 64, 100_000, 20_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -54,6 +56,26 @@ def splitting_tree(units: np.ndarray, shards: int, rng: np.random.Generator) ->
     return np.vstack([splitting_tree(draw, left, rng), splitting_tree(units - draw, shards - left, rng)])
 
 
+def branches(units: np.ndarray, shards: int, most: int, rng: np.random.Generator) -> list[tuple[int, np.ndarray]]:
+    """The upper levels of that tree: shards and units of each of so many branches at most."""
+    if shards == 1 or most == 1:
+        return [(shards, units)]
+    left = shards // 2
+    total = int(units.sum())
+    draw = rng.multivariate_hypergeometric(units, min(total, round(total * left / shards)), method="marginals") if total else np.zeros_like(units)
+    return branches(draw, left, most // 2, rng) + branches(units - draw, shards - left, most - most // 2, rng)
+
+
+def _split_branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of branches (branch, shards, units, seed): how many units of each source lie in its shards up to each."""
+    for b in batches:
+        for number, shards, units, seed in zip(b["branch"].tolist(), b["shards"].tolist(), b["units"], b["seed"].tolist()):
+            ends = np.cumsum(splitting_tree(np.asarray(units, np.int64), shards, np.random.default_rng([seed, number])), axis=0)
+            some = np.flatnonzero(ends[-1])
+            if len(some):
+                yield pd.DataFrame({"branch": number, "no": some.astype(np.int32), "ends": [ends[:, i].tolist() for i in some]})
+
+
 def _fill(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
     """Documents of a divided block, in the order of h: each that fits the quota, then one more if that comes nearer."""
     p = p.sort_values("h")
@@ -87,9 +109,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     want = targets([int(r["size"]) for r in stats], weights, most)
     rng = np.random.default_rng(seed)
     sources = []
+    block_docs = min(BLOCK_DOCS, max(1, sum(r["n"] for r in stats) // LEAST_BLOCKS))
     for r, t in zip(stats, want):
         full = min(most, int(t // r["size"])) if r["size"] else 0
-        sources.append((r["source"], int(r["size"]), t, full, max(0.0, t - full * int(r["size"])), max(1, math.ceil(r["n"] / BLOCK_DOCS))))
+        sources.append((r["source"], int(r["size"]), t, full, max(0.0, t - full * int(r["size"])), max(1, math.ceil(r["n"] / block_docs))))
     table = spark.createDataFrame(sources, "source string, source_size long, target double, full int, rest double, blocks int") if sources else spark.createDataFrame([], "source string, source_size long, target double, full int, rest double, blocks int")
     small = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda df: df
     dealt = rows.join(small(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "blocks").cast("int"))
@@ -110,14 +133,19 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     counts = decisions.groupBy("source").agg(F.sum(F.col("full") + F.col("part").cast("int")).alias("units")).collect()
     by = {r["source"]: int(r["units"]) for r in counts}
-    shards = min(MOST_SHARDS, max(1, math.ceil(sum(want) / SHARD_WORDS)))
-    quota = splitting_tree(np.array([by.get(s[0], 0) for s in sources], np.int64), shards, rng) if sources else np.zeros((1, 0), np.int64)
-    bounds = spark.createDataFrame([(s[0], [int(x) for x in np.cumsum(quota[:, i])]) for i, s in enumerate(sources)], "source string, bounds array<long>")
+    shards = max(LEAST_SHARDS, math.ceil(sum(want) / SHARD_WORDS))
+    top = branches(np.array([by.get(x[0], 0) for x in sources], np.int64), shards, BRANCHES, rng)
+    ends, first = np.cumsum([u for _, u in top], axis=0), np.cumsum([0] + [n for n, _ in top]).tolist()
+    upper = spark.createDataFrame([(x[0], i, ends[:, i].tolist()) for i, x in enumerate(sources)], "_s string, no int, upper array<long>")
+    lower = spark.createDataFrame([(g, n, u.tolist(), seed) for g, (n, u) in enumerate(top)], "branch int, shards int, units array<long>, seed int")
+    lower = lower.repartition(len(top), "branch").mapInPandas(_split_branches, "branch int, no int, ends array<long>")
     units = decisions.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("full") + F.col("part").cast("int")))).where(F.col("copy") < F.col("full") + F.col("part").cast("int"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block", "copy", F.lit(seed + 1)), "block", "copy")) - 1
     units = units.select("source", "block", "copy", rank.alias("rank"))
-    units = units.join(small(bounds), units["source"].eqNullSafe(bounds["source"])).drop(bounds["source"])
-    units = units.select("source", "block", "copy", F.size(F.filter("bounds", lambda x: x <= F.col("rank"))).alias("shard"))
+    units = units.join(small(upper), F.col("source").eqNullSafe(F.col("_s"))).withColumn("branch", F.size(F.filter("upper", lambda x: x <= F.col("rank"))))
+    units = units.withColumn("rank", F.col("rank") - F.when(F.col("branch") > 0, F.get("upper", F.col("branch") - 1)).otherwise(0))
+    below = F.element_at(F.array(*map(F.lit, first)), F.col("branch") + 1) + F.size(F.filter("ends", lambda x: x <= F.col("rank")))
+    units = units.drop("upper").join(materialize(lower, "branches"), ["branch", "no"]).select("source", "block", "copy", below.alias("shard"))
     return dealt.select("doc_id", "source", "size", "h", "block"), decisions, materialize(units, "units")
 
 

@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rillflow.llm.mixing import mixed_documents, mixed_sizes, plan_mix, splitting_tree, targets
+from rillflow.llm import mixing
+from rillflow.llm.mixing import branches, mixed_documents, mixed_sizes, plan_mix, splitting_tree, targets
 
 
 def test_targets():
@@ -53,3 +54,30 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
     assert mixed_documents(odd_docs).columns == odd_docs.columns
     assert mixed_sizes(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
+
+
+def test_branches_are_exact():
+    units = np.array([70, 0, 13, 917])
+    for shards, most in ((64, 64), (7, 3), (1, 5), (5, 1), (1000, 8)):
+        top = branches(units, shards, most, np.random.default_rng(2))
+        assert sum(n for n, _ in top) == shards and len(top) == min(shards, most) and (sum(u for _, u in top) == units).all()
+        assert all(abs(u.sum() - 1000 * n / shards) <= 7 for n, u in top)
+
+
+def test_shards_below_branches(spark, prose, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SHARDS", 10)
+    monkeypatch.setattr(mixing, "BRANCHES", 3)
+    _, decisions, units = plan_mix(docs(spark, prose))
+    want = decisions.agg(F.sum(F.col("full") + F.col("part").cast("int"))).first()[0]
+    n = {r["shard"]: r["count"] for r in units.groupBy("shard").count().collect()}
+    assert sorted(n) == list(range(10)) and sum(n.values()) == want and max(n.values()) - min(n.values()) <= 4
+
+
+def test_one_source_no_words_and_many_sources(spark):
+    def mixed(rows):
+        return mixed_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+
+    assert [r["times"] for r in mixed([(i, "a b", "one") for i in range(9)])] == [1] * 9
+    assert all(r["taken"] == 0 and r["target"] == 0 for r in mixed([(i, None if i % 2 else " ", str(i)) for i in range(9)]))
+    rows = mixed([(i, "a b c", f"{i:03}") for i in range(300)])
+    assert all(abs(r["taken"] - r["target"]) <= 1.5 for r in rows)

@@ -113,3 +113,26 @@ def test_words_come_back_from_the_older_generation(monkeypatch, tokenizer):
     monkeypatch.setattr(tokens, "SLICE", 10)
     words, texts = tokens.WordIds(vocabulary()), ["one two three", "four five one", "six one seven eight", "one nine ten", "two one"] * 3
     assert [np.frombuffer(x, "<u4").tolist() for x in words.texts(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_over_levels(spark, monkeypatch):
+    import rillflow.llm.packing as packing
+
+    monkeypatch.setattr(packing, "SHARD", 30)
+    rng = np.random.default_rng(3)
+    data = [(i, 0, int(rng.integers(1, 120)), "x", 4) for i in range(600)] + [(900 + i, 0, 120, "y", 4) for i in range(5)]
+    out = pack(spark.createDataFrame(data, "doc_id long, piece int, length long, _shard string, _level int"), 120).collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["_shard"], r["_level"]) for r in out) == sorted(data)
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 120
+    # Not far from what one shard of all pieces gives.
+    alone = sum_of_squares(np.array(sorted((x[2] for x in data), reverse=True)), 120)[2]
+    print(len(bins), len(alone))
+    assert len(bins) <= 1.05 * len(alone)

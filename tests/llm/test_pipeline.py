@@ -55,3 +55,10 @@ def test_secrets_go(spark):
     df = spark.createDataFrame([(1, "my token = abcdefgh12 here", "a", 26)], "doc_id long, text string, source string, n_chars long")
     (r,) = P.secrets(spark, df, "").collect()
     assert r["text"] == "my [secret] here" and r["n_chars"] == 16 and not re.search("abcdefgh", r["text"])
+
+
+def test_rows_equal_but_for_their_source(spark, prose):
+    data = [(5, prose(60, 3), s) for s in ("b", "a", "c", None)] + [(6, prose(60, 4), "z")]
+    for parts in (1, 4):
+        kept = P.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string, source string").repartition(parts), "")
+        assert sorted((r["doc_id"], r["source"]) for r in kept.collect()) == [(5, "a"), (6, "z")]
