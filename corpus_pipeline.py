@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group at five words and a similarity of 0.8: the one with the smallest doc_id.
 
     A row is known by its doc_id and text together (a 64-bit hash of both). Rows that share a doc_id but whose texts are
-    not linked all stay; rows equal in both are one document, of which one row stays. Rows with a null doc_id take no part.
+    not linked all stay; rows equal in both are one document, of which the row with the least other columns (as JSON) stays.
+    Rows with a null doc_id take no part.
     """
     keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     # Without nulls, beside which pandas would round the keys to 53 bits.
@@ -47,7 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     kept = keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti")
     if not found.groupBy("_key").count().where("count > 1").isEmpty():
-        kept = kept.where("_key is not null").dropDuplicates(["_key"]).unionByName(kept.where("_key is null"))
+        other = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+        one = kept.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), other).alias("_row")).select("_row.*")
+        return one.unionByName(kept.where("_key is null").select(*docs.columns))
     return kept.select(*docs.columns)
 
 
