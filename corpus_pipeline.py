@@ -38,7 +38,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null doc_id take no part.
     """
     keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    # Without nulls, beside which pandas would round the keys to 53 bits.
     found = ngram_jaccard(keyed.where("_key is not null").select(F.col("_key").alias("doc_id"), "text"), 5, 80, 100)
     found = materialize(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "groups")
     linked = found.where("_group != _key").select("_key", "_group")

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct hashes of the n-word shingles of texts; of the whole sequence where a text has fewer words.
 
-    Works on about a megabyte of texts at a time. A word's hash is the sum of its bytes' random values times powers of an
-    odd number, taken as the difference of two prefix sums.
+    Works on about CHUNK bytes of texts at a time, for each of which some arrays hold eight bytes. A word's hash is the sum
+    of its bytes' random values times powers of an odd number, taken as the difference of two prefix sums.
     """
 
     BASE = 0x9E3779B97F4A7C15
-    CHUNK = 1_000_000
+    CHUNK = 200_000
 
     def __init__(self, n: int):
         self.n = n
@@ -65,12 +67,12 @@ class Shingler:
         up[0] = down[0] = 1
         self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-    def sets(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+    def sets(self, texts: Iterable[str | bytes | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         held: list[bytes] = []
         size = 0
         for t in texts:
-            held.append(t.encode("utf-8", "surrogatepass").lower() if t else b"")
+            held.append((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"").lower())
             size += len(held[-1]) + 1
             if size >= self.CHUNK:
                 out += self.chunk(held)
@@ -119,30 +121,44 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of batches, a bounded amount of text at a time."""
     for b in batches:
-        part = np.cumsum(b["text"].str.len().fillna(0).to_numpy(np.int64) + 1) // SLICE
-        for _, own in b.groupby(part, sort=False):
-            yield own
+        if b.num_rows:
+            part = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy().astype(np.int64) + 1) // SLICE
+            ends = np.flatnonzero(np.append(np.diff(part) != 0, True)) + 1
+            for a, z in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                yield b.slice(a, z - a)
+    pa.default_memory_pool().release_unused()
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts of a batch one after the other, so that few of them are held twice."""
+    return (t.as_py() for t in b.column("text").cast(pa.binary()))
+
+
+SIGNATURE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64())])
 
 
 def _signatures(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in _slices(batches):
-            sets = shingler.sets(b["text"])
+            sets = shingler.sets(_texts(b))
             cls = [class_of(s) if len(s) else 0 for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "cls": cls})
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(cls), pa.int32()), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(cls, pa.int64())], schema=SIGNATURE)
             each = list({c: s for c, s in zip(cls, sets) if len(s)}.values())
             if each:
                 values, counts = np.unique(np.concatenate(each), return_counts=True)
                 hot = values[counts >= max(HOT_MIN, HOT_SHARE * len(each))]
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(hot), "Int64"), "n": 1, "cls": hot.view(np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(hot), pa.int32()), pa.nulls(len(hot), pa.int64()), pa.array([1] * len(hot), pa.int32()), pa.array(hot.view(np.int64))], schema=SIGNATURE)
 
     return run
 
 
+BLOCK = pa.schema([("r", pa.int32()), *((c, pa.binary()) for c in ("cls", "size", "need", "count", "tok"))])
+
+
 def _blocks(n: int, num: int, den: int, ranges: int, frequent):
     """Postings by hash range, packed: for each class of a batch how many of its shingles fall there, then those.
 
@@ -152,10 +168,10 @@ def _blocks(n: int, num: int, den: int, ranges: int, frequent):
     def pack(r: int, cls, size, need, count, values) -> tuple:
         return r, *(np.asarray(x, t).tobytes() for x, t in ((cls, np.int64), (size, np.int32), (need, np.int32), (count, np.int32))), values.tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, hot, turn = Shingler(n), frequent.value, 0
         for b in _slices(batches):
-            each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
+            each = {class_of(s): s for s in shingler.sets(_texts(b)) if len(s)}
             cls, sizes, needs, cold, late = list(each), [], [], [], []
             for s in each.values():
                 is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
@@ -183,7 +199,7 @@ def _blocks(n: int, num: int, den: int, ranges: int, frequent):
             if own := [i for i, x in enumerate(late) if len(x)]:
                 turn += 1
                 rows.append(pack(-1 - (turn * 7919 + len(of)) % ranges, [cls[i] for i in own], [sizes[i] for i in own], [needs[i] for i in own], [len(late[i]) for i in own], np.concatenate([late[i] for i in own])))
-            yield pd.DataFrame(rows, columns=["r", "cls", "size", "need", "count", "tok"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*rows) if rows else [[]] * 6, BLOCK.types)], schema=BLOCK)
 
     return run
 
@@ -204,19 +220,26 @@ def _shared(buckets: int):
         tok = _numbers(b["tok"], np.uint32 if r >= 0 else np.uint64)
         order = np.argsort(cls, kind="stable")
         first = np.append(True, np.diff(cls[order]) != 0)
-        index = np.empty(len(cls), np.int64)
+        index = np.empty(len(cls), np.uint32)
         index[order] = np.cumsum(first) - 1
         known = cls[order[first]]
         of = np.repeat(index, count)
         if r < 0:
             df = np.full(len(tok), LAST, np.int32)
         else:
-            pair = np.unique((tok.astype(np.uint64) << np.uint64(32)) | of.astype(np.uint64))
-            tok, of = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            ends = np.flatnonzero(np.append(np.diff(tok) != 0, True)) + 1 if len(tok) else np.empty(0, np.int64)
-            counts = np.diff(np.append(0, ends))
-            df = np.repeat(counts, counts).astype(np.int32)
-            tok, of, df = tok[df >= 2].astype(np.uint32), of[df >= 2], df[df >= 2]
+            # In place and soon without what only one class has, as these are the largest arrays of a task.
+            pair = tok.astype(np.uint64)
+            pair <<= np.uint64(32)
+            pair |= of
+            del tok, of
+            pair.sort()
+            pair = pair[np.diff(pair, prepend=~pair[:1]) != 0]
+            same = np.diff(pair >> np.uint64(32)) == 0
+            pair = pair[(np.append(same, False) | np.append(False, same))[: len(pair)]]
+            tok, of = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            ends = np.flatnonzero(np.diff(tok)) + 1
+            counts = np.diff(np.concatenate([[0], ends, [len(tok)]])).astype(np.int32)
+            df = np.repeat(counts, counts)
         told_n, told_need = np.zeros(len(known), np.int32), np.zeros(len(known), np.int32)
         told_n[index[size > 0]], told_need[index[size > 0]] = size[size > 0], need[size > 0]
         own = np.flatnonzero((told_n > 0) | (np.bincount(of, minlength=len(known)) > 0))
@@ -237,6 +260,7 @@ def _shared(buckets: int):
 
 def _prefixes(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket of classes: the shared shingles of each class's prefix. Rarest first; frequent ones are the last."""
+    pa.default_memory_pool().release_unused()
     cls, size, need, count = (_numbers(b[c], t) for c, t in (("cls", np.int64), ("size", np.int32), ("need", np.int32), ("count", np.int32)))
     tok = np.concatenate([np.frombuffer(t, np.uint32).astype(np.uint64) | np.uint64(r << 32) if r >= 0 else np.frombuffer(t, np.uint64) for r, t in zip(b["r"].tolist(), b["tok"])])
     df = _numbers(b["df"], np.int32)
@@ -256,30 +280,43 @@ def _prefixes(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": known[of], "n": n[of], "hot": df == LAST, "tok": tok.view(np.int64)})
 
 
+SETS = pa.schema([("cls", pa.int64()), ("bits", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+
+
 def _sets(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in _slices(batches):
-            each = {class_of(s): s for s in shingler.sets(b["text"]) if len(s)}
-            yield pd.DataFrame({"cls": list(each), "bits": [bitmap(s) for s in each.values()], "hashes": [s.view(np.int64) for s in each.values()]})
+            each = {class_of(s): s for s in shingler.sets(_texts(b)) if len(s)}
+            if each:
+                ends = np.cumsum([0, *map(len, each.values())]).astype(np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(each.values())).view(np.int64)), type=SETS.field("hashes").type)
+                yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), pa.array([bitmap(s) for s in each.values()], pa.binary()), hashes], schema=SETS)
 
     return run
 
 
 def _verify(num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+        """All hashes of a column of sets, without a copy, and where each set starts."""
+        ends = column.offsets.to_numpy()
+        return column.values.to_numpy().view(np.uint64), ends.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            keep = np.zeros(len(p), bool)
-            for i, (x, y, bx, by) in enumerate(zip(p["x"], p["y"], p["bx"], p["by"])):
-                apart = int(np.bitwise_count(np.frombuffer(bx, np.uint64) ^ np.frombuffer(by, np.uint64)).sum())
+            keep = np.zeros(p.num_rows, bool)
+            (xs, x_at), (ys, y_at) = parts(p.column("x")), parts(p.column("y"))
+            for i, (bx, by) in enumerate(zip(p.column("bx"), p.column("by"))):
+                x, y = xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]]
+                apart = int(np.bitwise_count(np.frombuffer(bx.as_buffer(), np.uint64) ^ np.frombuffer(by.as_buffer(), np.uint64)).sum())
                 most = (len(x) + len(y) - apart) // 2
                 if den * most < num * (len(x) + len(y) - most):
                     continue
-                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 keep[i] = den * both >= num * (len(x) + len(y) - both)
-            yield p.loc[keep, ["a", "b"]]
+            yield p.select(["a", "b"]).filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -343,13 +380,13 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(16, math.ceil(chars / RANGE_CHARS))
-    found = materialize(docs.mapInPandas(_signatures(n), "kind int, doc_id long, n int, cls long"), "signatures")
+    found = materialize(docs.mapInArrow(_signatures(n), "kind int, doc_id long, n int, cls long"), "signatures")
     sig = found.where("kind = 0")
     hot = found.where("kind = 1").groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(HOT_MOST).select("cls")
     frequent = spark.sparkContext.broadcast(np.sort(hot.toPandas()["cls"].to_numpy(np.int64).view(np.uint64)))
 
     known = docs.where("doc_id is not null")
-    blocks = known.select("text").mapInPandas(_blocks(n, num, den, ranges, frequent), "r int, cls binary, size binary, need binary, count binary, tok binary")
+    blocks = known.select("text").mapInArrow(_blocks(n, num, den, ranges, frequent), "r int, cls binary, size binary, need binary, count binary, tok binary")
     shared = blocks.groupBy("r").applyInPandas(_shared(max(4, math.ceil(sig.count() / BUCKET_DOCS))), "bucket int, r int, cls binary, size binary, need binary, count binary, tok binary, df binary")
     postings = materialize(shared.groupBy("bucket").applyInPandas(_prefixes, "cls long, n int, hot boolean, tok long"), "postings")
 
@@ -363,13 +400,13 @@ def ngram_jaccard(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -
     ids = materialize(ids, "candidates")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInPandas(_sets(n), "cls long, bits binary, hashes array<long>").groupBy("cls").agg(F.first("bits").alias("bits"), F.first("hashes").alias("hashes"))
+    sets = texts.mapInArrow(_sets(n), "cls long, bits binary, hashes array<long>").groupBy("cls").agg(F.first("bits").alias("bits"), F.first("hashes").alias("hashes"))
     sets = materialize(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("cls").alias("a"), F.col("bits").alias("bx"), F.col("hashes").alias("x"))
         y = sets.select(F.col("cls").alias("b"), F.col("bits").alias("by"), F.col("hashes").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "bx", "by").mapInPandas(_verify(num, den), "a long, b long")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "bx", "by").mapInArrow(_verify(num, den), "a long, b long")
 
     close = den * F.least("n", "pn") >= num * F.greatest("n", "pn")
     stars = members.where((F.col("cls") != F.col("pivot")) & close).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()

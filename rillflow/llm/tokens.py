@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +121,23 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     """
     path = path or vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last = word_ids(path), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], cache.texts(b["text"])):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), cache.texts(t.as_py() for t in b.column("text"))):
                 ids += last
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*rows), schema.types)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def flat_blocks(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, dtype: str = KIND) -> DataFrame:

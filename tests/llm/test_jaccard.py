@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -70,3 +71,21 @@ def test_shingles_do_not_depend_on_neighbours(prose):
     for t, s in zip(texts, together):
         assert (Shingler(4).sets([t])[0] == s).all()
     assert (together[-1] == together[-3]).all()
+
+
+def test_shingles_need_a_few_bytes_for_each_byte_of_text(prose):
+    text = prose(3000, 9)
+    texts = [text] * (8_000_000 // len(text))
+    tracemalloc.start()
+    shingler = Shingler(5)
+    for at in range(0, len(texts), 40):
+        shingler.sets(texts[at : at + 40])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+
+
+def test_large_ids_beside_a_null(spark, prose):
+    rows = [(2**60 + 1, prose(40, 1)), (2**60 + 3, prose(40, 1)), (None, prose(40, 1)), (2**60 + 2, prose(40, 2)), (-(2**60) - 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(ngram_jaccard(df)) == brute(rows, 4, 85, 100)

@@ -136,3 +136,8 @@ def test_packing_over_levels(spark, monkeypatch):
     alone = sum_of_squares(np.array(sorted((x[2] for x in data), reverse=True)), 120)[2]
     print(len(bins), len(alone))
     assert len(bins) <= 1.05 * len(alone)
+
+
+def test_large_ids_beside_a_null_stay(spark):
+    df = spark.createDataFrame([(2**60 + 1, "one two"), (None, "three")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in token_pieces(df).collect()} == {2**60 + 1, None}
