@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +48,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps for the tasks that follow each other in it: one thing at most."""
+    state = sys.modules.setdefault("_rillflow_worker", types.ModuleType("_rillflow_worker"))
+    if getattr(state, "key", None) != key:
+        forget()
+        state.key, state.value = key, make()
+    return state.value
+
+
+def forget() -> None:
+    """Drops what the tasks of an operator before have kept in this Python worker, which Spark goes on using."""
+    if state := sys.modules.get("_rillflow_worker"):
+        state.key = state.value = None
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges (a, b): returns (v, root), root being the smallest vertex.
 

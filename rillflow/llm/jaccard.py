@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, read
+from .common import components, forget, materialize, read
 
 N, NUM, DEN = 4, 85, 100
 #: Bits of a signature, largest side of a tile, characters of text for each hash range.
@@ -123,6 +123,7 @@ def least_overlap(n: int, num: int, den: int) -> int:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of batches, a bounded amount of text at a time."""
+    forget()
     for b in batches:
         if b.num_rows:
             part = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy().astype(np.int64) + 1) // SLICE

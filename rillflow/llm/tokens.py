@@ -9,8 +9,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -21,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import kept, materialize, read
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 4096, 1
@@ -33,8 +31,9 @@ SEPARATOR, STAND_IN, BLOCK, KIND, GROUP = 49407, 49408, 65_536, "<u2", 4096
 MARKS = re.compile(rb"([.,;:!?#*$%&|](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#*$%&|]*)(?=[ \t-\r]|\Z)")
 #: Words of letters of which the tokenizer changes no more than their case.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
-#: Words of a generation, characters of text worked on at a time.
-KNOWN, SLICE = 200_000, 4_000_000
+#: Words of a generation, characters of text worked on at a time, words given to the tokenizer at a time. The last two bound
+#: what a worker holds beside the words that it knows: a split text takes ten times its size, an encoded word half a kilobyte.
+KNOWN, SLICE, ENCODED = 200_000, 400_000, 2000
 
 
 class WordIds(dict):
@@ -94,16 +93,15 @@ class WordIds(dict):
                 self[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in tokenize(text)]) else b""
             else:
                 rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
-            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for i in range(0, len(rest), ENCODED):
+            some = rest[i : i + ENCODED]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 def word_ids(path: str) -> WordIds:
-    """The words that this Python worker knows; tasks that follow each other in it share them."""
-    state = sys.modules.setdefault("_rillflow_worker", types.ModuleType("_rillflow_worker"))
-    if getattr(state, "path", None) != path:
-        state.path, state.words = path, WordIds(path)
-    return state.words
+    """The words that this Python worker knows; tasks that follow each other in it share them, until another operator's come."""
+    return kept(("words", path), lambda: WordIds(path))
 
 
 def vocabulary(name: str = VOCABULARY) -> str:

@@ -1,3 +1,6 @@
+import gc
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -115,6 +118,31 @@ def test_words_come_back_from_the_older_generation(monkeypatch, tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in words.texts(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_need_little_beside_what_is_known(prose):
+    from rillflow.llm.tokens import WordIds
+
+    words, text = WordIds(vocabulary()), prose(3000, 4)
+    odd = " ".join(f"x{i}-{i}" for i in range(20_000))
+    tracemalloc.start()
+    count = sum(len(x) > 0 for x in words.texts([odd, *[text] * (6_000_000 // len(text))]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 1 + 6_000_000 // len(text)
+    assert peak < 20_000_000
+
+
+def test_tasks_of_the_join_drop_the_words_of_the_tokenizer():
+    import rillflow.llm.tokens as tokens
+    from rillflow.llm.jaccard import _slices
+
+    path = vocabulary()
+    words = weakref.ref(tokens.word_ids(path))
+    assert tokens.word_ids(path) is words()
+    assert list(_slices(iter([]))) == []
+    gc.collect()
+    assert words() is None
+
+
 def test_packing_over_levels(spark, monkeypatch):
     import rillflow.llm.packing as packing
 
