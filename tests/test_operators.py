@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.operators import components, flow, focal, grid, route, vector
+from rillflow.operators import algebra, components, flow, focal, grid, route, vector
 from rillflow.sources import tiles
 
 NO = 0
@@ -153,3 +153,8 @@ def test_listed_tiles(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     found = tiles.listed_tiles(spark, str(tmp_path), "*.bin", 60.0, 30.0, 70.0, 20.0).collect()
     assert [(r["lon"], r["lat"]) for r in found] == [(68, 25)]
+
+
+def test_seven_tenths_of_an_observation_are_exact(spark):
+    seen = spark.range(121).select("id", algebra.observed_occurrence(F.col("id")).alias("v"), algebra.combined_occurrence(F.lit(2), F.col("id")).alias("both"))
+    assert {r["id"]: (r["v"], r["both"]) for r in seen.collect()} == {i: ((x := i * 7 // 10 if i <= 100 else 0), 30 + x) for i in range(121)}
