@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,18 +97,58 @@ def nearest_lines(points: DataFrame, segments: DataFrame, width: float) -> DataF
     return best.select("point", "m.line", "m.d2", F.col("m.px").alias("x"), F.col("m.py").alias("y"))
 
 
+def _drop_contained(batches, most: int = 4096):
+    """Extents in the order of bucket and falling area without those that lie in one of the bucket's first ones."""
+    at, held = None, np.empty((0, 4))
+    for t in batches:
+        # One holds another if none of its four is larger.
+        box, keep = t[["x0", "x1", "y0", "y1"]].to_numpy() * (1, -1, 1, -1), np.ones(len(t), bool)
+        key = list(zip(t["bx"].tolist(), t["by"].tolist()))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b and key[a] != at:
+                at, held = key[a], np.empty((0, 4))
+            for i in range(a, b, 256):
+                rows = np.arange(i, min(i + 256, b))
+                rows = rows[~(held[None] <= box[rows, None]).all(2).any(1)]
+                inside = (box[rows][None] <= box[rows][:, None]).all(2)
+                np.fill_diagonal(inside, False)
+                rows = rows[~inside.any(1)]
+                held = np.concatenate([held, box[rows]])[:most]
+                keep[i : min(i + 256, b)] = False
+                keep[rows] = True
+        yield t[keep]
+
+
 def not_contained(extents: DataFrame, bucket: float) -> DataFrame:
-    """Extents (id, x0, x1, y0, y1) that lie in no larger one; of equal ones the smaller id stays.
+    """Extents (id, x0, x1, y0, y1) that lie in no larger one; of equal ones the smaller id stays. An id is that of one extent.
 
-    Each extent is sent to the buckets that it covers; a small one looks for larger ones in the bucket of its corner only.
+    Equal extents are one from the start. Of the others of a bucket (by their corners), a task keeps some of the largest and
+    drops what lies in these. What is left is sent to the buckets that it covers, wider ones for larger extents; a small
+    one looks for larger ones in the bucket of its corner, of each width. Extents with a null hold none and lie in none.
     """
-    cover = extents.withColumn("bx", F.explode(F.sequence(F.floor(F.col("x0") / bucket), F.floor(F.col("x1") / bucket)))).withColumn("by", F.explode(F.sequence(F.floor(F.col("y0") / bucket), F.floor(F.col("y1") / bucket))))
-    big = cover.select(F.col("id").alias("id2"), *(F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")), "bx", "by")
-    small = extents.withColumn("bx", F.floor(F.col("x0") / bucket)).withColumn("by", F.floor(F.col("y0") / bucket))
+    corners = ("x0", "x1", "y0", "y1")
+    known = F.lit(True)
+    for k in ("id", *corners):
+        known = known & F.col(k).isNotNull()
+    one = extents.where(known).groupBy("id", *corners).agg(F.count("*").alias("n")).groupBy(*corners).agg(F.min(F.struct("id", "n")).alias("m"))
+    at = lambda k, wide: F.floor(F.col(k) / wide)
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    one = one.select("m.id", "m.n", *corners, at("x0", bucket).alias("bx"), at("y0", bucket).alias("by"), F.greatest(F.ceil(F.log2(side / bucket)), F.lit(0)).cast("int").alias("level"))
+    one = materialize(one.fillna(0, "level"), "extents")
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    dealt = one.repartitionByRange("bx", "by", "x0", "y0").sortWithinPartitions("bx", "by", area.desc())
+    left = materialize(dealt.mapInPandas(_drop_contained, one.schema), "extents").drop("bx", "by")
+    levels = sorted(r["level"] for r in left.select("level").distinct().collect())
+    wide = F.pow(F.lit(2.0), F.col("level")) * bucket
+    big = left.select(*(F.col(k).alias(f"b{k}") for k in corners), "level", F.explode(F.sequence(at("x0", wide), at("x1", wide))).alias("bx"), at("y0", wide).alias("lo"), at("y1", wide).alias("hi"))
+    big = big.withColumn("by", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    small = left.withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))).withColumn("bx", at("x0", wide)).withColumn("by", at("y0", wide))
     inside = (F.col("bx0") <= F.col("x0")) & (F.col("bx1") >= F.col("x1")) & (F.col("by0") <= F.col("y0")) & (F.col("by1") >= F.col("y1"))
     same = (F.col("bx0") == F.col("x0")) & (F.col("bx1") == F.col("x1")) & (F.col("by0") == F.col("y0")) & (F.col("by1") == F.col("y1"))
-    gone = small.join(big, ["bx", "by"]).where(inside & (~same | (F.col("id2") < F.col("id"))) & (F.col("id2") != F.col("id"))).select("id").distinct()
-    return extents.join(gone, "id", "left_anti")
+    gone = small.join(big, ["level", "bx", "by"]).where(inside & ~same).select("id").distinct()
+    out = left.join(gone, "id", "left_anti").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return out.select("id", *corners).unionByName(extents.where(~known).select("id", *corners))
 
 
 def lines(cells: DataFrame, group: str, order: str) -> DataFrame:

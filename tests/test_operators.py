@@ -158,3 +158,17 @@ def test_listed_tiles(spark, tmp_path):
 def test_seven_tenths_of_an_observation_are_exact(spark):
     seen = spark.range(121).select("id", algebra.observed_occurrence(F.col("id")).alias("v"), algebra.combined_occurrence(F.lit(2), F.col("id")).alias("both"))
     assert {r["id"]: (r["v"], r["both"]) for r in seen.collect()} == {i: ((x := i * 7 // 10 if i <= 100 else 0), 30 + x) for i in range(121)}
+
+
+def test_extents_equal_odd_and_of_any_size(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        x, y, w, h = rng.randrange(12), rng.randrange(12), rng.choice((0, 1, 2, 5)), rng.choice((0, 1, 3, 5))
+        rows.append((i, x + 0.0, x + w + 0.0, y + 0.0, y + h + 0.0))
+    # Wider than any number of the narrow buckets, a null, a row twice, and some outside of all that is large.
+    rows += [(700, -1e9, 1e9, 3.0, 4.0), (701, -1e9, 1e9, 3.5, 4.0), (702, None, 1.0, 0.0, 9.0), (703, 40.0, 41.0, -5.0, -4.0), (703, 40.0, 41.0, -5.0, -4.0), (704, 40.0, 41.0, -5.0, -4.0), (705, 40.0, 40.5, -5.0, -4.5)]
+    holds = lambda b, a: None not in b + a and b[0] != a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] <= a[3] and b[4] >= a[4] and (b[1:] != a[1:] or b[0] < a[0])
+    want = sorted((a for a in rows if not any(holds(b, a) for b in rows)), key=repr)
+    got = vector.not_contained(spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double"), 0.1)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
