@@ -55,6 +55,7 @@ def nearest_lines(points: DataFrame, segments: DataFrame, width: float) -> DataF
 
     segments is line, x0, y0, x1, y1, a line being any number of them; a segment may be a point. x and y are the place on the
     line that is nearest (of a line's several, the smallest). Points of equal numbers are one if their places are, null places take no part.
+    Points of one place are looked for once, and of equal segments only that of the smallest line.
 
     Segments are owned by the squares of side width that the middles of their pieces lie in, and squares by those twice as
     wide, up to one that holds all. From there each point goes down the squares, and keeps those that may hold what is
@@ -62,6 +63,7 @@ def nearest_lines(points: DataFrame, segments: DataFrame, width: float) -> DataF
     the extent. width should leave few segments in a square.
     """
     s = segments.select("line", *(F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1"))).dropna()
+    s = s.groupBy("x0", "y0", "x1", "y1").agg(F.min("line").alias("line"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / width), F.lit(1)).cast("long")
     s = s.withColumn("k", pieces).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
@@ -75,7 +77,8 @@ def nearest_lines(points: DataFrame, segments: DataFrame, width: float) -> DataF
     # Squares count from the corner of all; the square of a level is found by dropping bits.
     s = s.withColumn("bx", F.col("bx") - e["lobx"]).withColumn("by", F.col("by") - e["loby"])
     squares = materialize(s.select("bx", "by").distinct(), "nearest")
-    held = p.withColumn("bx", F.lit(0).cast("long")).withColumn("by", F.lit(0).cast("long"))
+    places = p.select("x", "y").distinct()
+    held = places.withColumn("bx", F.lit(0).cast("long")).withColumn("by", F.lit(0).cast("long"))
     for level in range(top - 1, -1, -1):
         side = width * (1 << level)
         own = squares.select(F.shiftright("bx", level).alias("cx"), F.shiftright("by", level).alias("cy")).distinct()
@@ -84,17 +87,17 @@ def nearest_lines(points: DataFrame, segments: DataFrame, width: float) -> DataF
         out = lambda x, lo: F.greatest(lo - x, x - lo - side, F.lit(0.0))
         far = lambda x, lo: F.greatest(F.abs(x - lo), F.abs(x - lo - side))
         near, most = (F.sqrt(g(F.col("x"), w) * g(F.col("x"), w) + g(F.col("y"), n) * g(F.col("y"), n)) for g in (out, far))
-        met = held.join(own, ["bx", "by"]).select("point", "x", "y", "cx", "cy", near.alias("near"), most.alias("most"))
+        met = held.join(own, ["bx", "by"]).select("x", "y", "cx", "cy", near.alias("near"), most.alias("most"))
         # A piece reaches half its length beyond the square of its middle; rounding is given a little more.
-        sure = F.min("most").over(Window.partitionBy("point", "x", "y"))
+        sure = F.min("most").over(Window.partitionBy("x", "y"))
         met = met.withColumn("sure", sure).where(F.col("near") <= F.col("sure") * (1 + 1e-9) + width * 0.5000001)
-        held = materialize(met.select("point", "x", "y", F.col("cx").alias("bx"), F.col("cy").alias("by")), "nearest")
+        held = materialize(met.select("x", "y", F.col("cx").alias("bx"), F.col("cy").alias("by")), "nearest")
     g2 = dx * dx + dy * dy
     t = F.when(g2 == 0, 0.0).otherwise(F.least(F.greatest(((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / g2, F.lit(0.0)), F.lit(1.0)))
-    found = held.join(s, ["bx", "by"]).select("point", "x", "y", "line", (F.col("x0") + t * dx).alias("px"), (F.col("y0") + t * dy).alias("py"))
+    found = held.join(s, ["bx", "by"]).select("x", "y", "line", (F.col("x0") + t * dx).alias("px"), (F.col("y0") + t * dy).alias("py"))
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    best = found.groupBy("point", "x", "y").agg(F.min(F.struct(d2.alias("d2"), "line", "px", "py")).alias("m"))
-    return best.select("point", "m.line", "m.d2", F.col("m.px").alias("x"), F.col("m.py").alias("y"))
+    best = found.groupBy("x", "y").agg(F.min(F.struct(d2.alias("d2"), "line", "px", "py")).alias("m"))
+    return p.join(best, ["x", "y"]).select("point", "m.line", "m.d2", F.col("m.px").alias("x"), F.col("m.py").alias("y"))
 
 
 def _drop_contained(batches, most: int = 4096):

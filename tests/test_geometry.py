@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow.operators import vector
 from rillflow.operators.ellipsoid import GRS80, Albers, Ellipsoid, cell_area, distance, edge_area, region_area
 from rillflow.operators.overlay import overlay_areas
 from rillflow.operators.vector import nearest_lines
@@ -31,6 +32,18 @@ def test_nearest_lines_at_any_distance(spark, width):
     assert nearest_lines(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame([], "line long, x0 double, y0 double, x1 double, y1 double"), width).count() == 0
 
 
+def test_equal_points_and_segments_are_looked_for_once(spark, monkeypatch):
+    rng = random.Random(5)
+    places = [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(4)]
+    ways = [tuple(rng.uniform(-9, 9) for _ in range(4)) for _ in range(3)]
+    points, lines = [(i, *places[i % 4]) for i in range(400)], [(i, *ways[i % 3]) for i in range(5, 305)]
+    kept, real = [], vector.materialize
+    monkeypatch.setattr(vector, "materialize", lambda df, label: (kept.append(real(df, label)), kept[-1])[1])
+    got = nearest_lines(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(lines, "line long, x0 double, y0 double, x1 double, y1 double"), 4.0)
+    assert {r["point"]: (r["d2"], r["line"]) for r in got.collect()} == {p: min((gap(x, y, *s[1:]), s[0]) for s in lines) for p, x, y in points}
+    assert max(df.count() for df in kept) < 100
+
+
 def test_published_lines(spark):
     dms = lambda d, m, s: math.copysign(abs(d) + m / 60 + s / 3600, d)
     flinders, buninyong = (dms(144, 25, 29.52440), dms(-37, 57, 3.72030)), (dms(143, 55, 35.38390), dms(-37, 39, 10.15610))
