@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from array import array
+from bisect import bisect_left
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -97,45 +102,93 @@ def point_raster(cells: DataFrame, pts: DataFrame, west: float, north: float, si
     return cells.select("r", "c").join(at, ["r", "c"], "left").select("r", "c", F.coalesce("points", F.lit(0)).alias("points"))
 
 
-def _level_body(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """The water of one window that holds the cell east of the dam (all of it, if none does) at its lowest height."""
-    wet = dict(zip(zip(g["r"].tolist(), g["c"].tolist()), g["h"].tolist()))
-    at = (int(g["dam_r"].iloc[0]), int(g["dam_c"].iloc[0]) + 1)
-    body, todo = ({at}, [at]) if at in wet else ({*wet}, [])
-    while todo:
-        r, c = todo.pop()
-        for dr, dc in STEPS:
-            if (n := (r + dr, c + dc)) in wet and n not in body:
-                body.add(n)
-                todo.append(n)
-    low = min(wet[x] for x in body)
-    return pd.DataFrame([(*x, low) for x in body], columns=["r", "c", "low"])
-
+def _dams_of_tile(tile: tuple, dams: pd.DataFrame, cells: pd.DataFrame, reach: int, edge: int) -> pd.DataFrame:
+    """What the dams (n, r, c) around a tile do to its own water, in their order, by kind.
 
-def flatten_dams(cells: DataFrame, water: DataFrame, dams: DataFrame, reach: int = 20) -> DataFrame:
+    0: the lowest height h that dam n finds as given; 1: dam n finds what dam p has left; 2: the last dam n at cell (p, c).
+    """
+    # The water (r, c, h) as a grid with a free cell around the windows of the dams.
+    high = edge + 4 * reach + 2
+    r0, c0 = tile[0] * edge - 2 * reach - 1, tile[1] * edge - 2 * reach - 1
+    h, last = np.full(high * high, np.nan), np.zeros(high * high, np.int64)
+    h[(cells["r"].to_numpy() - r0) * high + cells["c"].to_numpy() - c0] = cells["h"]
+    wet = ~np.isnan(h).reshape(high, high)
+    own = np.zeros((high, high), bool)
+    own[2 * reach + 1 : 2 * reach + 1 + edge, 2 * reach + 1 : 2 * reach + 1 + edge] = True
+    own, side = own.ravel(), 2 * reach + 3
+    off, low, found = [dr * side + dc for dr, dc in STEPS], [], []
+    dams = dams.sort_values("n")
+    for n, r, c in zip(dams["n"].tolist(), (dams["r"] - r0 - reach).tolist(), (dams["c"] - c0 - reach).tolist()):
+        window = np.zeros((side, side), bool)
+        window[1:-1, 1:-1] = wet[r : r + side - 2, c : c + side - 2]
+        at = (reach + 1) * side + reach + 2
+        if window.flat[at]:
+            left, body = bytearray(window.tobytes()), [at]
+            left[at] = 0
+            for x in body:
+                for k in off:
+                    if left[x + k]:
+                        left[x + k] = 0
+                        body.append(x + k)
+            y, x = np.divmod(np.array(body), side)
+        else:
+            y, x = np.nonzero(window)
+        place = (y + r - 1) * high + x + c - 1
+        place = place[own[place]]
+        if len(place):
+            was = last[place]
+            given = place[was == 0]
+            if len(given):
+                low.append((n, h[given].min()))
+            found.extend((n, p) for p in np.unique(was[was > 0]).tolist())
+            last[place] = n
+    at = np.flatnonzero(last)
+    none = np.full(len(at), np.nan)
+    frames = [
+        pd.DataFrame({"kind": 0, "n": [n for n, _ in low], "p": 0, "c": 0, "h": [v for _, v in low]}),
+        pd.DataFrame({"kind": 1, "n": [n for n, _ in found], "p": [p for _, p in found], "c": 0, "h": np.nan}),
+        pd.DataFrame({"kind": 2, "n": last[at], "p": at // high + r0, "c": at % high + c0, "h": none}),
+    ]
+    return pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True)
+
+
+def _levels_of_dams(batches):
+    """The level that each dam leaves, of rows (kind, n, p, h) in the order of n: the least of what it finds."""
+    name, level = array("q"), array("d")
+    for t in batches:
+        # The last dam may go on from the batch before.
+        begun = max(len(name) - 1, 0)
+        for kind, n, p, h in zip(t["kind"].tolist(), t["n"].tolist(), t["p"].tolist(), t["h"].tolist()):
+            if not name or name[-1] != n:
+                name.append(n)
+                level.append(math.inf)
+            found = level[bisect_left(name, p)] if kind else h
+            if found < level[-1]:
+                level[-1] = found
+        yield pd.DataFrame({"n": name[begun:], "level": level[begun:]})
+
+
+def flatten_dams(cells: DataFrame, water: DataFrame, dams: DataFrame, reach: int = 20, edge: int = 256) -> DataFrame:
     """Heights (r, c, h) with the water (r, c) at each dam (dam, r, c) made level at its lowest cell, dams in their order.
 
-    A dam sees what dams before it have changed in its window of 2 * reach + 1 cells; dams whose windows do not meet are
-    done at once, so the rounds are the longest chain of meeting windows. A window has at most (2 * reach + 1) ** 2 cells,
-    and only cells in windows take part. Null heights and dams without water in their window change nothing.
+    A dam levels the water of its window of 2 * reach + 1 cells a side that holds the cell east of it (all of it, if none
+    does), and sees what dams before it have changed. Which cells it changes does not depend on heights, so a tile finds
+    for itself which dam was last at each cell before another one. A dam then leaves the least of the heights that it finds
+    as given and of the levels that the dams found before it have left. This pass over dams in their order is sequential
+    and one task's; it holds two numbers a dam, and reads at most one row a dam, tile and dam before it. A group is a tile
+    with the cells of 2 * reach around it and the dams of reach around it. Null heights and places, and dams without water
+    in their window, change nothing; dams of one number come by their places.
     """
-    wide = 2 * reach + 1
-    d = materialize(dams.select("dam", F.col("r").alias("dam_r"), F.col("c").alias("dam_c")), "dams")
-    off = F.sequence(F.lit(-reach), F.lit(reach))
-    seen = d.withColumn("dr", F.explode(off)).withColumn("dc", F.explode(off)).select("dam", "dam_r", "dam_c", (F.col("dam_r") + F.col("dr")).alias("r"), (F.col("dam_c") + F.col("dc")).alias("c"))
-    seen = materialize(seen.join(water.select("r", "c").distinct(), ["r", "c"]), "dams")
-    state = materialize(cells.where("h is not null").select("r", "c", F.col("h").cast("double").alias("h")).join(seen.select("r", "c").distinct(), ["r", "c"], "left_semi"), "dams")
-    box = lambda x, s: (F.floor(F.col(x) / wide) + F.col(s)).alias
-    three = F.sequence(F.lit(-1), F.lit(1))
-    near = d.withColumn("i", F.explode(three)).withColumn("j", F.explode(three)).select("dam", "dam_r", "dam_c", box("dam_r", "i")("br"), box("dam_c", "j")("bc"))
-    own = d.select(F.col("dam").alias("later"), F.col("dam_r").alias("lr"), F.col("dam_c").alias("lc"), F.floor(F.col("dam_r") / wide).alias("br"), F.floor(F.col("dam_c") / wide).alias("bc"))
-    meet = near.join(own, ["br", "bc"]).where((F.col("dam") < F.col("later")) & (F.abs(F.col("dam_r") - F.col("lr")) < wide) & (F.abs(F.col("dam_c") - F.col("lc")) < wide))
-    waits, left = materialize(meet.select("dam", "later"), "dams"), d.select("dam")
-    while not left.isEmpty():
-        held = waits.join(left, "dam", "left_semi").select(F.col("later").alias("dam")).distinct()
-        ready = materialize(left.join(held, "dam", "left_anti"), "dams")
-        now = seen.join(ready, "dam", "left_semi").join(state, ["r", "c"]).select("dam", "dam_r", "dam_c", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "h")
-        low = now.groupBy("dam").applyInPandas(_level_body, "r long, c long, low double")
-        state = materialize(state.join(low, ["r", "c"], "left").select("r", "c", F.coalesce("low", "h").alias("h")), "dams")
-        left = materialize(left.join(ready, "dam", "left_anti"), "dams")
-    return cells.select("r", "c", "h").join(state.withColumnRenamed("h", "new"), ["r", "c"], "left").select("r", "c", F.coalesce("new", "h").alias("h"))
+    d = dams.select("dam", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).dropna()
+    d = d.select(F.row_number().over(Window.orderBy("dam", "r", "c")).cast("long").alias("n"), "r", "c")
+    tiles = lambda x, wide: F.explode(F.sequence(F.floor((F.col(x) - wide) / edge), F.floor((F.col(x) + wide) / edge)))
+    near = materialize(d.withColumn("tr", tiles("r", reach)).withColumn("tc", tiles("c", reach)), "dams")
+    wet = cells.where("h is not null and not isnan(h)").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("h").cast("double").alias("h"))
+    wet = wet.join(water.select("r", "c").distinct(), ["r", "c"], "left_semi").withColumn("tr", tiles("r", 2 * reach)).withColumn("tc", tiles("c", 2 * reach))
+    wet = wet.join(near.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+    done = near.groupBy("tr", "tc").cogroup(wet.groupBy("tr", "tc")).applyInPandas(lambda k, a, b: _dams_of_tile(k, a, b, reach, edge), "kind int, n long, p long, c long, h double")
+    done = materialize(done, "dams")
+    found = done.where("kind < 2").select("kind", "n", "p", "h").repartition(1).sortWithinPartitions("n", "kind")
+    level = found.mapInPandas(_levels_of_dams, "n long, level double").groupBy("n").agg(F.min("level").alias("new"))
+    new = done.where("kind = 2").select("n", F.col("p").alias("r"), "c").join(level, "n").select("r", "c", "new")
+    return cells.select("r", "c", "h").join(new, ["r", "c"], "left").select("r", "c", F.coalesce("new", "h").alias("h"))

@@ -2,6 +2,9 @@
 
 import random
 
+import pandas as pd
+import pytest
+
 from rillflow.operators import outline
 from rillflow.operators.grid import STEPS
 
@@ -58,6 +61,32 @@ def test_dams_in_their_order(spark):
     assert {(r["r"], r["c"]): r["h"] for r in out.collect()} == brute_dams(h, wet, dams, 3)
 
 
+@pytest.mark.parametrize("edge", [5, 256])
+def test_chains_of_dams_need_no_rounds(spark, monkeypatch, edge):
+    rng = random.Random(edge)
+    h = {(r, c): float(rng.randint(0, 999)) for r in range(40) for c in range(9)} | {(3, 3): None, (20, 4): None}
+    wet = {x for x in h if rng.random() < 0.5}
+    # Down and up again, several at one cell or of one number, some beside the raster and far from it.
+    dams = [(i, i % 40, rng.randrange(9)) for i in range(40)] + [(100 - i, i, rng.randrange(9)) for i in range(0, 40, 3)]
+    dams += [(7, 7, 2), (200, 5, 5), (201, 5, 5), (202, 5, 5), (203, -2, 4), (204, 41, 9), (205, 900, -900)]
+    kept, real = [], outline.materialize
+    monkeypatch.setattr(outline, "materialize", lambda df, label: (kept.append(label), real(df, label))[1])
+    frames = [([(*x, v) for x, v in h.items()], "r int, c int, h double"), (sorted(wet), "r int, c int"), ([*dams, (206, None, 3)], "dam long, r int, c int")]
+    cells, water, d = (spark.createDataFrame(*f) for f in frames)
+    out = outline.flatten_dams(cells, water, d, 3, **({} if edge == 256 else {"edge": edge}))
+    assert {(r["r"], r["c"]): r["h"] for r in out.collect()} == brute_dams(h, wet, dams, 3)
+    assert len(kept) < 9
+    assert {(r["r"], r["c"]): r["h"] for r in outline.flatten_dams(cells, water, d.where("dam < 0")).collect()} == h
+
+
+def test_a_dam_over_two_batches():
+    rows = [(0, 1, 0, 5.0), (0, 2, 0, 9.0), (1, 2, 1, None), (1, 3, 2, None), (0, 3, 0, 4.0), (1, 4, 2, None)]
+    whole = pd.DataFrame(rows, columns=["kind", "n", "p", "h"])
+    for k in range(len(rows)):
+        got = pd.concat(outline._levels_of_dams([whole[:k], whole[k:]]))
+        assert got.groupby("n")["level"].min().to_dict() == {1: 5.0, 2: 5.0, 3: 4.0, 4: 5.0}
+
+
 def test_polygons_become_one_with_holes_and_an_island(spark):
     # Two halves of a frame around a frame around a cell, and a piece that touches at a corner only.
     cells = {(r, c): 1 if c < 4 else 2 for r in range(9) for c in range(9) if max(abs(r - 4), abs(c - 4)) != 3}
