@@ -1,11 +1,12 @@
 """Operators against small brute-force versions and against invariants."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.operators import algebra, components, flow, focal, grid, route, vector
+from rillflow.operators import algebra, components, flood, flow, focal, grid, route, vector
 from rillflow.sources import tiles
 
 NO = 0
@@ -202,3 +203,26 @@ def test_parts_of_tiles_become_components(spark, monkeypatch, edge, most):
     for eight in (True, False):
         got = {r["id"]: r["label"] for r in components.label_mask(spark.createDataFrame(sorted(one), "r int, c int"), 13, eight, edge, most).collect()}
         assert got == {x[0] * 13 + x[1]: k for x, k in brute_labels(one, 13, eight).items()}
+
+
+@pytest.mark.parametrize("edge,most", [(3, 1000), (4, 0), (64, 1000)])
+def test_fill_over_many_tiles_needs_no_rounds(spark, monkeypatch, edge, most):
+    rng = random.Random(edge)
+    h = {(r, c): float(rng.randint(0, 30)) for r in range(-3, 20) for c in range(11)}
+    h |= {(8, 4): None, (2, 2): math.nan} | {(r, c): math.nan for r in range(11, 16) for c in range(4, 9) if max(abs(r - 13), abs(c - 6)) == 2}
+    # A closed basin that is left by a long way up.
+    h |= {(30 + r, c): 99.0 if max(abs(r - 6), abs(c - 6)) == 5 else float(r) for r in range(13) for c in range(13)}
+    rank = lambda v: math.inf if math.isnan(v) else v
+    level = {x: rank(v) for x, v in h.items() if v is not None and any(h.get((x[0] + dr, x[1] + dc)) is None for dr, dc in grid.STEPS)}
+    todo = [*level]
+    while todo:
+        x = todo.pop()
+        for dr, dc in grid.STEPS:
+            if h.get(n := (x[0] + dr, x[1] + dc)) is not None and (to := max(rank(h[n]), level[x])) < level.get(n, 1e9):
+                level[n] = to
+                todo.append(n)
+    kept, real = [], flood.materialize
+    monkeypatch.setattr(flood, "materialize", lambda df, label: (kept.append(label), real(df, label))[1])
+    got = flood.filled_levels(spark.createDataFrame([(*x, v) for x, v in h.items()], "r int, c int, h double"), edge, most)
+    assert {(r["r"], r["c"]): rank(r["f"]) for r in got.collect()} == {x: level.get(x, math.inf) for x, v in h.items() if v is not None}
+    assert most == 0 or len(kept) < 4
